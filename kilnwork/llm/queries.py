@@ -4,16 +4,68 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kilnwork.llm import quality
+from kilnwork.llm import langid, linededup, packing, quality, urlfilter
 from kilnwork.llm.shared import table
 
 
+def tokenizer_path(name: str) -> str:
+    """Where the machine's public vocabulary file is."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.fit(docs))
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), 1)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"), {rule: verdict == "block" for verdict, rule in urlfilter.RULES})
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    runs, _ = linededup.bitmaps(docs)
+    return linededup.apply(docs, runs).select("doc.doc_id", "line_dedup.n_lines", "line_dedup.n_dropped", F.sha2("line_dedup.kept_text", 256).alias("kept_sha256"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.judge(docs, model).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("score", 6).alias("score"))
 
 
-QUERIES = {"op10_quality_rules": op10_quality_rules}
+QUERIES = {"op1_language_id": op1_language_id, "op2_packing": op2_packing, "op5_url_filter": op5_url_filter, "op9_line_dedup": op9_line_dedup, "op10_quality_rules": op10_quality_rules}
+
+_HOST, _PATH = r"regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)", r"regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _fits(rule: str) -> str:
+    host, slash, path = rule.partition("/")
+    return f"(host = '{host}' OR suffix(host, '.{host}')) AND prefix(path, '{slash}{path}')"
+
+
+_RULE_CASE = "CASE " + " ".join(f"WHEN {_fits(r)} THEN '{r}'" for _, r in sorted(urlfilter.RULES, key=lambda x: -len(x[1]))) + " END"
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_url_filter": f"""
+        WITH parts AS (SELECT page_id, coalesce(translate({_HOST}, '{_UPPER}', '{_LOWER}'), '') AS host, coalesce({_PATH}, '') AS path FROM pages),
+        ruled AS (SELECT page_id, host, path, {_RULE_CASE} AS rule FROM parts)
+        SELECT page_id, host, path, rule, CASE WHEN rule IN ({", ".join(f"'{r}'" for v, r in urlfilter.RULES if v == "block")}) THEN 'block' ELSE 'allow' END AS verdict FROM ruled""",
+    "op9_line_dedup": f"""
+        WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+        lines AS (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos FROM split),
+        keyed AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{_UPPER}', '{_LOWER}') AS key FROM lines),
+        repeated AS (SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+        judged AS (SELECT k.doc_id, k.pos, k.line, r.key IS NOT NULL AND k.doc_id <> r.keeper AS gone FROM keyed k LEFT JOIN repeated r ON k.key = r.key)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+        FROM judged GROUP BY doc_id""",
+}
