@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kilnwork.llm import langid, linededup, packing, quality, urlfilter
-from kilnwork.llm.shared import table
+from kilnwork.llm import decontaminate, langid, licenses, linededup, packing, quality, tokenfiles, urlfilter
+from kilnwork.llm.shared import new_path, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -25,10 +25,25 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "token-files")
+    tokenfiles.write(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), 0, path)
+    return tokenfiles.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), {rule: verdict == "block" for verdict, rule in urlfilter.RULES})
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("containment", F.round("containment", 6))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     runs, _ = linededup.bitmaps(docs)
@@ -41,7 +56,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, model).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("score", 6).alias("score"))
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op2_packing": op2_packing, "op5_url_filter": op5_url_filter, "op9_line_dedup": op9_line_dedup, "op10_quality_rules": op10_quality_rules}
+QUERIES = {"op1_language_id": op1_language_id, "op2_packing": op2_packing, "op4_token_files": op4_token_files, "op5_url_filter": op5_url_filter, "op6_decontamination": op6_decontamination, "op7_license_scan": op7_license_scan, "op9_line_dedup": op9_line_dedup, "op10_quality_rules": op10_quality_rules}
 
 _HOST, _PATH = r"regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)", r"regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
