@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kilnwork.llm import decontaminate, langid, licenses, linededup, packing, quality, tokenfiles, urlfilter
+from kilnwork.llm import decontaminate, langid, licenses, linededup, neardup, packing, quality, tokenfiles, urlfilter
 from kilnwork.llm.shared import new_path, table
 
 
@@ -25,6 +25,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents"), neardup.Rule(shingle=3, numerator=85, denominator=100))
+    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token-files")
     tokenfiles.write(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), 0, path)
@@ -56,7 +61,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, model).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("score", 6).alias("score"))
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op2_packing": op2_packing, "op4_token_files": op4_token_files, "op5_url_filter": op5_url_filter, "op6_decontamination": op6_decontamination, "op7_license_scan": op7_license_scan, "op9_line_dedup": op9_line_dedup, "op10_quality_rules": op10_quality_rules}
+QUERIES = {"op1_language_id": op1_language_id, "op2_packing": op2_packing, "op3_near_dedup": op3_near_dedup, "op4_token_files": op4_token_files, "op5_url_filter": op5_url_filter, "op6_decontamination": op6_decontamination, "op7_license_scan": op7_license_scan, "op9_line_dedup": op9_line_dedup, "op10_quality_rules": op10_quality_rules}
 
 _HOST, _PATH = r"regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)", r"regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
