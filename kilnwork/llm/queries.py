@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kilnwork.llm import decontaminate, langid, licenses, linededup, neardup, packing, quality, tokenfiles, urlfilter
+from kilnwork.llm import decontaminate, langid, licenses, linededup, neardup, packing, quality, substrings, tokenfiles, urlfilter
 from kilnwork.llm.shared import new_path, table
 
 
@@ -49,6 +49,11 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     runs, _ = linededup.bitmaps(docs)
@@ -61,7 +66,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, model).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("score", 6).alias("score"))
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op2_packing": op2_packing, "op3_near_dedup": op3_near_dedup, "op4_token_files": op4_token_files, "op5_url_filter": op5_url_filter, "op6_decontamination": op6_decontamination, "op7_license_scan": op7_license_scan, "op9_line_dedup": op9_line_dedup, "op10_quality_rules": op10_quality_rules}
+QUERIES = {"op1_language_id": op1_language_id, "op2_packing": op2_packing, "op3_near_dedup": op3_near_dedup, "op4_token_files": op4_token_files, "op5_url_filter": op5_url_filter, "op6_decontamination": op6_decontamination, "op7_license_scan": op7_license_scan, "op8_substring_dedup": op8_substring_dedup, "op9_line_dedup": op9_line_dedup, "op10_quality_rules": op10_quality_rules}
 
 _HOST, _PATH = r"regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)", r"regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
