@@ -89,12 +89,17 @@ def bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOC
 
 
 def apply(docs: DataFrame, runs: DataFrame) -> DataFrame:
-    """docs with its columns and, as a struct ``line_dedup``: n_lines, n_dropped, kept_runs and kept_text."""
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    left = docs.select(whole.alias("doc"), lines_of(F.col("text")).alias("lines"), F.col("doc_id").alias("doc_key"), F.xxhash64("text").alias("copy_key"))
+    """docs' columns but text as a struct ``doc``, and a struct ``line_dedup``.
+
+    That has n_lines, n_dropped, kept_runs, kept_text (empty for a null text) and
+    had_text.  Texts cross the join once, as arrays of lines.
+    """
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    left = docs.select(others.alias("doc"), F.split("text", "\n", -1).alias("lines"), F.col("doc_id").alias("doc_key"), F.xxhash64("text").alias("copy_key"))
     right = runs.select(F.col("doc_id").alias("right_doc"), F.col("copy").alias("right_copy"), "dropped")
     joined = left.join(right, (F.col("doc_key") == F.col("right_doc")) & (F.col("copy_key") == F.col("right_copy")), "left")
-    n_lines = F.size("lines")
+    had_text = F.col("lines").isNotNull()
+    n_lines = F.when(had_text, F.size("lines")).otherwise(1)
     gone = F.coalesce("dropped", F.array().cast("array<struct<first:int,length:int>>"))
     kept = F.transform(
         F.sequence(F.lit(0), F.size(gone)),
@@ -106,5 +111,6 @@ def apply(docs: DataFrame, runs: DataFrame) -> DataFrame:
     joined = joined.select("doc", "lines", "dropped", F.filter(kept, lambda r: r["end"] > r["first"]).alias("kept_runs"))
     n_dropped = F.coalesce(F.aggregate("dropped", F.lit(0), lambda a, r: a + r["length"]), F.lit(0))
     text = F.array_join(F.flatten(F.transform("kept_runs", lambda r: F.slice(F.col("lines"), r["first"] + 1, r["end"] - r["first"]))), "\n")
-    return joined.select("doc", F.struct(n_lines.cast("long").alias("n_lines"), n_dropped.cast("long").alias("n_dropped"), F.col("kept_runs"), F.when(F.col("dropped").isNull(), F.array_join("lines", "\n")).otherwise(text).alias("kept_text")).alias("line_dedup"))
-
+    whole = F.coalesce(F.array_join("lines", "\n"), F.lit(""))
+    fields = {"n_lines": n_lines.cast("long"), "n_dropped": n_dropped.cast("long"), "kept_runs": F.col("kept_runs"), "kept_text": F.when(F.col("dropped").isNull(), whole).otherwise(text), "had_text": had_text}
+    return joined.select("doc", F.struct(*[c.alias(name) for name, c in fields.items()]).alias("line_dedup"))
