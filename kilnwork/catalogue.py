@@ -2,35 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from kilnwork.plans import content, lines, parts, relations, vectors
+from kilnwork.plans.registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a query, and its SQL where there is one."""
-
-    def register(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLES[name] = sql
-        return f
-
-    return register
-
-
-@query(
-    "sniff_kind",
-    """SELECT kind, count(*) AS n FROM (
-        SELECT CASE WHEN html LIKE '<!DOCTYPE%' THEN 'html' WHEN html LIKE '%PDF%' THEN 'pdf' ELSE 'unknown' END AS kind FROM pages
-        UNION ALL SELECT CASE WHEN ltrim(substr(text, 1, 16)) LIKE '<svg%' THEN 'svg' ELSE 'text' END FROM documents) GROUP BY kind""",
-)
-def sniff_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.when(F.col("html").startswith("<!DOCTYPE"), "html").when(F.col("html").contains("PDF"), "pdf").otherwise("unknown").alias("kind"))
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.when(F.ltrim(F.substring("text", 1, 16)).startswith("<svg"), "svg").otherwise("text").alias("kind"))
-    return pages.unionAll(docs).groupBy("kind").agg(F.count("*").alias("n"))
+__all__ = ["ORACLES", "QUERIES", "content", "lines", "parts", "relations", "vectors"]
