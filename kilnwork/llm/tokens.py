@@ -1,16 +1,24 @@
-"""Exact token ids with a bounded cache of chunks.
+"""Exact token ids with a bounded cache of parts.
 
 A text is cut where the tokenizer's own pre-tokenizer always ends a token, the
-chunks are looked up in a bounded cache, and those that are new go to the
-tokenizers library in one batch.  The ids of a text are those of its chunks in
-order, as unsigned little-endian 32-bit integers.
+parts are looked up in a bounded cache, and those that are new go to the
+tokenizers library.  The ids of a text are those of its parts in order, as
+unsigned little-endian 32-bit integers.
 
 Where cuts are safe:
 - "words": white space is dropped and no token spans it, so every blank or line
-  end cuts.
+  end cuts.  Letters are lowered before the look-up, as the normalizer does.
 - "spaced": the byte-level pattern never joins a character that is not white
-  space to white space after it, so a run of white space opens a chunk.
-- "whole": anything else; the whole text is one chunk.
+  space to white space after it, so a run of white space opens a part.
+- "whole": anything else; the whole text is one part.
+The first two also end a token between a letter and a digit or sign other than
+the apostrophe.  In a text of ASCII and Latin-1 letters without an apostrophe
+that is every change between letters and others; in any other text only changes
+between ASCII letters and ASCII signs count.  A text that may hold a special
+token (which is told by ``<|``) is one part.
+
+A part that is one pre-token goes to the library's model directly, in the byte
+alphabet of byte-level vocabularies; any other part takes the whole tokenizer.
 """
 
 from __future__ import annotations
@@ -18,14 +26,35 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 
-import numpy as np
-
-#: Bounds of one worker's cache.
-CACHE_CHUNKS, CACHE_CHARS = 300_000, 24_000_000
+#: Bounds of each of the two generations of a worker's cache.
+CACHE_PARTS, CACHE_CHARS = 300_000, 12_000_000
 #: White space of Unicode, as the tokenizers' patterns have it (fixed values).
 WHITE = "\\x09-\\x0D\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
-_CHUNK = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+#: ASCII digits and signs without the apostrophe (fixed values).
+SIGNS = "!-&(-@\\[-`{-~"
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+
+
+def _pattern(white: str, lead: str) -> re.Pattern:
+    """Parts: up to white space, or to a change between ASCII letters and signs."""
+    stop = f"(?=[{white}]|\\Z)"
+    letters = f"[A-Za-z]+(?:{stop}|(?=[{SIGNS}]))"
+    signs = f"[{SIGNS}]+(?:{stop}|(?=[A-Za-z]))"
+    inner = f"(?:[A-Za-z](?![{SIGNS}])|[{SIGNS}](?![A-Za-z])|[^{white}A-Za-z{SIGNS}])"
+    return re.compile(f"{lead}(?:{letters}|{signs}|{inner}+[^{white}]?|[^{white}])" + (f"|[{white}]+" if lead else ""))
+
+
+_PATTERNS = {"words": _pattern(" \\n", ""), "spaced": _pattern(WHITE, f"[{WHITE}]*")}
+#: Letters of ASCII and Latin-1, and ASCII white space (fixed values).
+_LETTERS, _BLANKS = "A-Za-z\\xC0-\\xD6\\xD8-\\xF6\\xF8-\\xFF", "\\x09-\\x0D\\x20"
+_UNUSUAL = re.compile(f"[^\\x00-&(-~{_LETTERS}]").search
+_USUAL = {"words": re.compile(f"[{_LETTERS}]+|[^{_BLANKS}{_LETTERS}]+"), "spaced": re.compile(f"[{_BLANKS}]*(?:[{_LETTERS}]+|[^{_BLANKS}{_LETTERS}]+)|[{_BLANKS}]+")}
+_ONE = {"words": re.compile(f"[{_LETTERS}]+|[!-&(-/:-@\\[-`{{-~]+|[0-9]").fullmatch, "spaced": re.compile(f" ?(?:[{_LETTERS}]+|[!-&(-/:-@\\[-`{{-~]+|[0-9]+)").fullmatch}
+#: The byte alphabet: printable bytes stand for themselves, the others for the characters from 256 on, in order.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_ALPHABET = {b: b if b in _PRINTABLE else 256 + sum(x not in _PRINTABLE for x in range(b)) for b in range(256)}
 
 
 def chunking(path: str) -> str:
@@ -49,31 +78,45 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        self._model = self._tokenizer.model
         self._how = chunking(path)
-        self._cache: dict[str, bytes] = {}
+        self._new: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
         self._chars = 0
 
-    def _chunks(self, text: str) -> list[str]:
-        if self._how == "words":
-            return text.replace("\n", " ").split(" ")
-        if self._how == "spaced":
-            return _CHUNK.findall(text)
-        return [text]
+    def parts(self, text: str) -> list[str]:
+        if self._how == "whole" or "<|" in text:
+            return [text]
+        if _UNUSUAL(text):
+            if self._how == "words":
+                text = text.encode("utf-8", "surrogatepass").translate(_LOWER).decode("utf-8", "surrogatepass")
+            return _PATTERNS[self._how].findall(text)
+        return _USUAL[self._how].findall(text.lower() if self._how == "words" else text)
+
+    def _learn(self, part: str) -> bytes:
+        """Ids of a part that the young generation of the cache lacks."""
+        found = self._old.get(part)
+        if found is None:
+            if self._how != "whole" and _ONE[self._how](part):
+                ids = [t.id for t in self._model.tokenize(part.encode().decode("latin-1").translate(_ALPHABET))]
+            else:
+                ids = self._tokenizer.encode(part, add_special_tokens=False).ids
+            found = struct.pack(f"<{len(ids)}I", *ids)
+        if len(self._new) >= CACHE_PARTS or self._chars > CACHE_CHARS:
+            self._old, self._new, self._chars = self._new, {}, 0
+        self._new[part] = found
+        self._chars += len(part)
+        return found
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each whole text; null counts as empty."""
         out = []
         for text in texts:
-            chunks = self._chunks(text or "")
-            new = list(set(chunks).difference(self._cache))
-            if new:
-                if len(self._cache) + len(new) > CACHE_CHUNKS or self._chars > CACHE_CHARS:
-                    self._cache, self._chars = {}, 0
-                    new = list(set(chunks))
-                for chunk, found in zip(new, self._tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                    self._cache[chunk] = np.array(found.ids, "<u4").tobytes()
-                    self._chars += len(chunk)
-            out.append(b"".join(map(self._cache.__getitem__, chunks)))
+            parts = self.parts(text or "")
+            found = list(map(self._new.get, parts))
+            if None in found:
+                found = [(self._new.get(p) or self._learn(p)) if x is None else x for p, x in zip(parts, found, strict=True)]
+            out.append(b"".join(found))
         return out
 
 
