@@ -51,7 +51,7 @@ _PATTERNS = {"words": _pattern(" \\n", ""), "spaced": _pattern(WHITE, f"[{WHITE}
 _LETTERS, _BLANKS = "A-Za-z\\xC0-\\xD6\\xD8-\\xF6\\xF8-\\xFF", "\\x09-\\x0D\\x20"
 _UNUSUAL = re.compile(f"[^\\x00-&(-~{_LETTERS}]").search
 _USUAL = {"words": re.compile(f"[{_LETTERS}]+|[^{_BLANKS}{_LETTERS}]+"), "spaced": re.compile(f"[{_BLANKS}]*(?:[{_LETTERS}]+|[^{_BLANKS}{_LETTERS}]+)|[{_BLANKS}]+")}
-_ONE = {"words": re.compile(f"[{_LETTERS}]+|[!-&(-/:-@\\[-`{{-~]+|[0-9]").fullmatch, "spaced": re.compile(f" ?(?:[{_LETTERS}]+|[!-&(-/:-@\\[-`{{-~]+|[0-9]+)").fullmatch}
+_ONE = {"words": re.compile("[a-z\\xDF-\\xF6\\xF8-\\xFF]+|[!-&(-/:-@\\[-`{-~]+|[0-9]").fullmatch, "spaced": re.compile(f" ?(?:[{_LETTERS}]+|[!-&(-/:-@\\[-`{{-~]+|[0-9]+)").fullmatch}
 #: The byte alphabet: printable bytes stand for themselves, the others for the characters from 256 on, in order.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _ALPHABET = {b: b if b in _PRINTABLE else 256 + sum(x not in _PRINTABLE for x in range(b)) for b in range(256)}
