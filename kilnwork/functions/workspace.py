@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -18,3 +18,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def put_file(spark: SparkSession, path: str, data: bytes) -> None:
+    """Writes one file through the file system of its path, without a checksum file beside it, so that it may be edited."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.delete(at, False)
+    system.setWriteChecksum(False)
+    try:
+        out = system.create(at, True)
+        out.write(bytearray(data))
+        out.close()
+    finally:
+        system.setWriteChecksum(True)

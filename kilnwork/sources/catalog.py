@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from kilnwork.functions.workspace import put_file
 from kilnwork.sources import codecs, records
 from kilnwork.sources.blockstore import Store, StoreError, Writer
 
@@ -195,10 +196,5 @@ def build_catalogs(parts: dict[str, DataFrame]) -> DataFrame:
 
 def save(files: DataFrame, folder: str) -> None:
     """Writes each (path, content) as a file named like the path's last part, through Hadoop's file systems."""
-    spark = files.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for row in files.toLocalIterator():  # one file at a time
-        at = jvm.org.apache.hadoop.fs.Path(f"{folder}/{row['path'].rsplit('/', 1)[-1]}")
-        out = at.getFileSystem(conf).create(at, True)
-        out.write(bytearray(row["content"]))
-        out.close()
+        put_file(files.sparkSession, f"{folder}/{row['path'].rsplit('/', 1)[-1]}", bytes(row["content"]))
