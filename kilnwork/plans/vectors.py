@@ -6,9 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kilnwork.plans.registry import query, table
 
-#: A fixed palette of entries: the vectors with ids under this number, a stated bound.
-PALETTE = 16
-
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
@@ -18,18 +15,19 @@ def _squared(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, d: s + d)
 
 
-_PAIRS = f"FROM embeddings e, (SELECT vec_id AS entry, embedding AS other FROM embeddings WHERE vec_id < {PALETTE}) p"
+_PAIRS = "FROM embeddings e, (SELECT min(vec_id) AS entry, arg_min(embedding, vec_id) AS other FROM embeddings GROUP BY label) p"
 _SQUARED = "list_sum(list_transform(range(1, len(embedding) + 1), lambda i: (embedding[i]::DOUBLE - other[i]::DOUBLE) ** 2))"
 
 
-@query("nearest_l2", f"SELECT vec_id, arg_min(entry, d) AS entry, round(min(d), 4) AS distance FROM (SELECT vec_id, entry, {_SQUARED} AS d {_PAIRS}) GROUP BY vec_id")
+@query("nearest_l2", f"SELECT vec_id, arg_min(entry, (d, entry)) AS entry, round(min(d), 4) AS distance FROM (SELECT vec_id, entry, {_SQUARED} AS d {_PAIRS}) GROUP BY vec_id")
 def nearest_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest palette entry by squared distance; ties go to the first.
 
-    The palette is one row of at most PALETTE entries, so it is broadcast.
+    The palette is each label's first vector, one row of as many entries as there are labels.
     """
     vectors = _vectors(spark, sf_dir)
-    palette = vectors.where(F.col("vec_id") < PALETTE).agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("palette"))
+    first = vectors.groupBy("label").agg(F.min("vec_id").alias("vec_id"), F.min_by("embedding", "vec_id").alias("embedding"))
+    palette = first.agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("palette"))
     each = F.transform("palette", lambda p: F.struct(_squared(F.col("embedding"), p["embedding"]).alias("d"), p["vec_id"].alias("entry")))
     found = vectors.crossJoin(F.broadcast(palette)).select("vec_id", F.array_min(each).alias("best"))
     return found.select("vec_id", F.col("best.entry").alias("entry"), F.round("best.d", 4).alias("distance"))
