@@ -66,7 +66,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, model).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("score", 6).alias("score"))
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op2_packing": op2_packing, "op3_near_dedup": op3_near_dedup, "op4_token_files": op4_token_files, "op5_url_filter": op5_url_filter, "op6_decontamination": op6_decontamination, "op7_license_scan": op7_license_scan, "op8_substring_dedup": op8_substring_dedup, "op9_line_dedup": op9_line_dedup, "op10_quality_rules": op10_quality_rules}
+QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op2_packing": op2_packing,
+    "op3_near_dedup": op3_near_dedup,
+    "op4_token_files": op4_token_files,
+    "op5_url_filter": op5_url_filter,
+    "op6_decontamination": op6_decontamination,
+    "op7_license_scan": op7_license_scan,
+    "op8_substring_dedup": op8_substring_dedup,
+    "op9_line_dedup": op9_line_dedup,
+    "op10_quality_rules": op10_quality_rules,
+}
 
 _HOST, _PATH = r"regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)", r"regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -79,6 +90,7 @@ def _fits(rule: str) -> str:
 
 _RULE_CASE = "CASE " + " ".join(f"WHEN {_fits(r)} THEN '{r}'" for _, r in sorted(urlfilter.RULES, key=lambda x: -len(x[1]))) + " END"
 
+
 def _shingles(name: str, table_name: str) -> str:
     """Distinct five-word shingles of a table's texts, as text."""
     return f"""SELECT DISTINCT id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN ['#' || array_to_string(w, ' ')] ELSE [] END) AS s
@@ -86,14 +98,14 @@ def _shingles(name: str, table_name: str) -> str:
 
 
 ORACLES: dict[str, str] = {
-    "op6_decontamination": f"""
-        WITH d AS ({_shingles("doc_id", "documents")}), b AS ({_shingles("item_id", "benchmark")}), n AS (SELECT id, count(*) AS n FROM b GROUP BY id)
-        SELECT d.id AS doc_id, b.id AS item_id, any_value(n) AS n_item_shingles, count(*) AS n_shared, round(count(*) / any_value(n), 6) AS containment
-        FROM d JOIN b ON d.s = b.s JOIN n ON b.id = n.id GROUP BY d.id, b.id HAVING 5 * count(*) >= 4 * any_value(n)""",
     "op5_url_filter": f"""
         WITH parts AS (SELECT page_id, coalesce(translate({_HOST}, '{_UPPER}', '{_LOWER}'), '') AS host, coalesce({_PATH}, '') AS path FROM pages),
         ruled AS (SELECT page_id, host, path, {_RULE_CASE} AS rule FROM parts)
         SELECT page_id, host, path, rule, CASE WHEN rule IN ({", ".join(f"'{r}'" for v, r in urlfilter.RULES if v == "block")}) THEN 'block' ELSE 'allow' END AS verdict FROM ruled""",
+    "op6_decontamination": f"""
+        WITH d AS ({_shingles("doc_id", "documents")}), b AS ({_shingles("item_id", "benchmark")}), n AS (SELECT id, count(*) AS n FROM b GROUP BY id)
+        SELECT d.id AS doc_id, b.id AS item_id, any_value(n) AS n_item_shingles, count(*) AS n_shared, round(count(*) / any_value(n), 6) AS containment
+        FROM d JOIN b ON d.s = b.s JOIN n ON b.id = n.id GROUP BY d.id, b.id HAVING 5 * count(*) >= 4 * any_value(n)""",
     "op9_line_dedup": f"""
         WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
         lines AS (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos FROM split),
