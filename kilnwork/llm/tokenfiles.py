@@ -36,6 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kilnwork.llm.shared import drop, stored
+from kilnwork.llm.textblocks import text_buffer
 from kilnwork.llm.tokens import encoder
 
 MAX_BITS = 18
@@ -205,11 +206,12 @@ def count_ids(ids: DataFrame) -> np.ndarray:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, np.int64)
         for batch in batches:
-            for wide, raw in zip(batch.column(0), batch.column(1), strict=True):
-                found = np.bincount(_ids(raw.as_py(), wide.as_py()))
-                if len(found) > len(total):
-                    total = np.concatenate([total, np.zeros(len(found) - len(total), np.int64)])
-                total[: len(found)] += found
+            wide = np.array(batch.column(0).to_pylist(), bool)
+            for kind in (False, True):
+                raw, at = text_buffer(batch.column(1).filter(pa.array(wide == kind)))
+                found = np.bincount(_ids(raw[at[0] : at[-1]].tobytes(), kind), minlength=len(total))
+                found[: len(total)] += total
+                total = found
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
 
@@ -222,7 +224,7 @@ def count_ids(ids: DataFrame) -> np.ndarray:
 def write(docs: DataFrame, tokenizer: str, end_id: int, path: str, max_bits: int = MAX_BITS) -> None:
     """Writes all documents' ids as a file set, in ascending doc_id order."""
     spark = docs.sparkSession
-    ids, working = stored(tokenized(docs, tokenizer, end_id), "token-ids")
+    ids, working = stored(tokenized(docs, tokenizer, end_id), "token-ids", "zstd")
     lengths = code_lengths(count_ids(ids), max_bits)
     spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").write.parquet(f"{path}/code")
 
