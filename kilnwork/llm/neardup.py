@@ -49,6 +49,8 @@ MISS = 1e-5
 BLOCK_ELEMENTS = 2_000_000
 _DIGEST = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
 _STAGE_ELEMENTS = 200_000
+#: A class with more than this share of all documents counts as hot; there can be no more than its inverse.
+HOT_SHARE = 1 / 2000
 
 
 @dataclass(frozen=True)
@@ -317,7 +319,7 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), block_elements: int =
     spark = docs.sparkSession
     signs, signs_path = stored(signed(docs, rule), "signatures")
     named = signs.where("n_shingles > 0 and doc_id is not null")
-    classes = named.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("class_id"))
+    classes, classes_path = stored(named.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies")), "copies")
     # One row per class: rows of the same doc_id and set are the same here.
     reps = named.join(classes.select("class_id", F.col("d1").alias("c1"), F.col("d2").alias("c2")), (F.col("doc_id") == F.col("class_id")) & (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2"))).dropDuplicates(["class_id", "d1", "d2"])
     reps, reps_path = stored(reps.select("class_id", "n_shingles", "d1", "d2", "bands"), "classes")
@@ -350,12 +352,22 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), block_elements: int =
         drop(spark, more_path)
     drop(spark, found_path, members_path, sets_path, reps_path)
 
-    of_class = named.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2", "n_shingles"]).select("doc_id", "n_shingles", "class_id")
+    of_class = _classed(named, classes)
     grouped = of_class.join(roots, F.col("class_id") == F.col("node"), "left").select("doc_id", "n_shingles", "class_id", F.coalesce("root", "class_id").alias("component_id"))
     alone = signs.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
     return grouped.unionAll(alone)
 
 
+def _classed(named: DataFrame, classes: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, class_id).  Copies of hot classes don't meet in one task: those few classes are broadcast."""
+    total = classes.agg(F.sum("copies").alias("n")).first()["n"] or 0
+    large = classes.where(F.col("copies") > max(1, int(total * HOT_SHARE))).select("d1", "d2", F.col("class_id").alias("hot_id"))
+    marked = named.select("doc_id", "n_shingles", "d1", "d2").join(F.broadcast(large), ["d1", "d2"], "left")  # fewer than 1 / HOT_SHARE rows
+    hot = marked.where("hot_id is not null").select("doc_id", "n_shingles", F.col("hot_id").alias("class_id"))
+    cold = marked.where("hot_id is null").join(classes.select("d1", "d2", "class_id"), ["d1", "d2"])
+    return hot.unionAll(cold.select("doc_id", "n_shingles", "class_id"))
+
+
 def keep_one(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """One document of each group, the one with the smallest doc_id, with all its columns.
 
