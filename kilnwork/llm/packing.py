@@ -5,8 +5,9 @@ the longest tier: 1..256 tokens to the shortest, then up to 512, 1024, 2048.
 Tiers are packed from the longest: the tier's own piece opens a window, and its
 gap is filled with the largest pieces of shorter tiers that fit; where none
 fits, the smallest is cut.  All window lengths are powers of two and all are
-full; what is left over in a partition's last window is cut into full windows of
-smaller powers of two, so nothing is padded.
+full; what is left over at a partition's end is cut into full windows of falling
+powers of two (their ``tier`` is that length, which may be below the shortest of
+TIERS), so nothing is padded.
 
 Packing is local to a partition and needs no shuffle.  Documents are taken in
 groups of bounded size; pieces that don't fill a window wait for the next group.
@@ -17,8 +18,9 @@ Ids of sequences and step groups hold the partition's number, so they are unique
 in a result, and a task that runs again gives the same ones.
 
 Edge cases: a null or empty text is the end id alone; equal ids and repeated
-rows are packed as rows of their own; a text may be longer than any window; an
-empty table gives no pieces.
+rows are packed as rows of their own; pieces of equal length go in the order of
+their rows; a text may be longer than any window; an empty table gives no pieces.
+A null doc_id is carried.  Only doc_id and text are read, whatever else there is.
 """
 
 from __future__ import annotations
@@ -27,11 +29,11 @@ import heapq
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from kilnwork.llm.textblocks import blocks
 from kilnwork.llm.tokens import encoder
 
 TIERS = (2048, 1024, 512, 256)
@@ -114,7 +116,6 @@ def step_groups(sizes: list[int], budget: int = STEP_TOKENS) -> list[int]:
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int, tiers: tuple[int, ...] = TIERS) -> DataFrame:
     """The pieces of all documents, with their ids (unsigned little-endian 32-bit)."""
-    end = np.array([end_id], "<u4").tobytes()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -143,10 +144,11 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, tiers: tuple[int, ...] =
         ready: list[list[tuple[int, int, int]]] = []
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
-            for at in range(0, batch.num_rows, 256):
-                texts = batch.column(1).slice(at, 256).to_pylist()
-                for doc_id, ids in zip(doc_ids[at : at + 256], names.encode(texts), strict=True):
-                    ids += end
+            for a, b in blocks(batch.column(1)):
+                every, at = names.column(batch.column(1).slice(a, b - a), end_id)
+                every = every.astype("<u4")
+                for k, doc_id in enumerate(doc_ids[a:b]):
+                    ids = every[at[k] : at[k + 1]].tobytes()
                     held[number] = (doc_id, ids)
                     ready += packer.add(number, len(ids) // 4)
                     number += 1

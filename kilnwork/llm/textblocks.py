@@ -135,6 +135,14 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix64(out)
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; by sorting, which beats numpy's hash table on short arrays and long ones."""
+    ordered = np.sort(values)
+    new = np.ones(len(ordered), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    return ordered[new]
+
+
 def whole(hashes: np.ndarray) -> np.uint64:
     """Hash of a sequence shorter than a shingle; differs from any full shingle's."""
     return mix64((hashes * _GRAM[32 : 32 + len(hashes)]).sum(dtype=np.uint64)[None] + _GRAM[63])[0]
@@ -149,7 +157,7 @@ def shingle_sets(words: Words, n: int) -> Iterator[np.ndarray]:
     for i in range(len(words.ptr) - 1):
         a, b = int(words.ptr[i]), int(words.ptr[i + 1])
         if b - a >= n:
-            yield np.unique(every[a : b - n + 1])
+            yield distinct(every[a : b - n + 1])
         elif b > a:
             yield np.array([whole(words.hashes[a:b])], np.uint64)
         else:

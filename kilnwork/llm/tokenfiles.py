@@ -21,8 +21,9 @@ last_doc, n_tokens, data) and ``code`` (the lengths).  Parquet only carries the
 block bytes, so that any store that Spark reaches can hold them.
 
 Edge cases: null and empty texts are the end id alone; documents without a
-doc_id sort first; repeated ids are kept, in the order of their tokens' hash; an
-empty table gives an empty file set; a document of any length is one block's.
+doc_id sort first; repeated ids are kept, in the order of their tokens' hash
+(equal rows in any order); an empty table gives an empty file set; a document of
+any length is one block's.  Only doc_id and text are read, whatever else there is.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kilnwork.llm.shared import drop, stored
-from kilnwork.llm.textblocks import text_buffer
+from kilnwork.llm.textblocks import blocks, text_buffer
 from kilnwork.llm.tokens import encoder
 
 MAX_BITS = 18
@@ -46,6 +47,7 @@ LANE_TOKENS = 1 << 20
 MAGIC = b"KHB1"
 _HEAD = struct.Struct("<4sIQQII")
 BLOCKS = "shard int, block long, first_doc long, last_doc long, n_tokens long, data binary"
+_TOKENIZED = ["doc_id", "wide", "ids", "counts"]
 DOCUMENTS = "doc_id long, start long, n_tokens long, ids binary"
 
 
@@ -108,17 +110,20 @@ class Code:
 
     def encode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Payload bytes, and the bit offset of every INTERVAL-th token."""
+        if not len(ids):
+            return np.empty(0, np.uint8), np.empty(0, np.int64)
         sizes = self.lengths[ids].astype(np.int64)
         ends = np.cumsum(sizes)
         begins = ends - sizes
-        n_bytes = int(-(-ends[-1] // 8)) if len(ids) else 0
-        shifted = self.codes[ids] << (40 - sizes - (begins & 7)).astype(np.uint64)
-        at = begins >> 3
-        out = np.zeros(n_bytes + 5, np.int64)
-        for lane in range(5):  # codes share a byte without sharing a bit, so sums are unions
-            part = (shifted >> np.uint64(32 - 8 * lane)) & np.uint64(255)
-            out += np.bincount(at + lane, weights=part, minlength=len(out)).astype(np.int64)[: len(out)]
-        return out[:n_bytes].astype(np.uint8), begins[::INTERVAL]
+        codes, word, free = self.codes[ids], begins >> 6, 64 - (begins & 63) - sizes
+        # Codes are shorter than a word, so a code begins in every word; no two share a bit, so sums are unions.
+        head = np.where(free >= 0, codes << np.maximum(free, 0).astype(np.uint64), codes >> np.maximum(-free, 0).astype(np.uint64))
+        first = np.concatenate([[0], np.flatnonzero(np.diff(word)) + 1])
+        out = np.zeros(int(word[-1]) + 2, np.uint64)
+        out[: len(first)] = np.add.reduceat(head, first)
+        over = np.flatnonzero(free < 0)
+        out[word[over] + 1] |= codes[over] << (64 + free[over]).astype(np.uint64)
+        return out.astype(">u8").view(np.uint8)[: -(-int(ends[-1]) // 8)], begins[::INTERVAL]
 
     def decode(self, payload: np.ndarray, offsets: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Tokens of lanes that begin at the bit ``offsets`` and have ``counts`` tokens, lane after lane."""
@@ -181,41 +186,45 @@ def read_blocks(code: Code, blocks: list[Block]) -> Iterator[tuple[int | None, i
 
 
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """(doc_id, ids) with the end id; unsigned 16-bit where all ids fit, else 32-bit (``wide``)."""
-    end = np.array([end_id], "<u4").tobytes()
+    """(doc_id, wide, ids, counts): a row with the ids of each document, and a row with the counts of each task.
+
+    ids end with the end id; they are unsigned 16-bit where all of a block's fit,
+    else 32-bit (``wide``).  counts, null in documents' rows, holds pairs of an id
+    and its count as 64-bit numbers.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = encoder(tokenizer)
+        names, counts = encoder(tokenizer), np.zeros(1, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                found = [np.frombuffer(x + end, "<u4") for x in names.encode(batch.column(1).slice(at, 512).to_pylist())]
-                wide = [bool(len(x) and x.max() > 0xFFFF) for x in found]
-                raw = [(x if w else x.astype("<u2")).tobytes() for x, w in zip(found, wide, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 512), pa.array(wide), pa.array(raw, pa.binary())], names=["doc_id", "wide", "ids"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, "doc_id long, wide boolean, ids binary")
-
-
-def _ids(raw: bytes, wide: bool) -> np.ndarray:
-    return np.frombuffer(raw, "<u4" if wide else "<u2")
+            for a, b in blocks(batch.column(1)):
+                ids, at = names.column(batch.column(1).slice(a, b - a), end_id)
+                found = np.bincount(ids, minlength=len(counts))
+                found[: len(counts)] += counts
+                counts, wide = found, bool(ids.max() > 0xFFFF)
+                data = ids.astype("<u4" if wide else "<u2")
+                raw = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((at * data.itemsize).astype(np.int32)), pa.py_buffer(data)])
+                columns = [batch.column(0).slice(a, b - a), pa.array(np.full(b - a, wide)), raw, pa.nulls(b - a, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=_TOKENIZED)
+        used = np.flatnonzero(counts)
+        pairs = np.stack([used, counts[used]], axis=1).astype("<i8").tobytes()
+        columns = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.bool_()), pa.nulls(1, pa.binary()), pa.array([pairs], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=_TOKENIZED)
+
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return source.mapInArrow(work, "doc_id long, wide boolean, ids binary, counts binary")
 
 
 def count_ids(ids: DataFrame) -> np.ndarray:
     """Counts over all documents; the driver gets one row for each id of the vocabulary."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1, np.int64)
         for batch in batches:
-            wide = np.array(batch.column(0).to_pylist(), bool)
-            for kind in (False, True):
-                raw, at = text_buffer(batch.column(1).filter(pa.array(wide == kind)))
-                found = np.bincount(_ids(raw[at[0] : at[-1]].tobytes(), kind), minlength=len(total))
-                found[: len(total)] += total
-                total = found
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
-
-    got = ids.select("wide", "ids").mapInArrow(work, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+            for raw in batch.column(0):
+                pairs = np.frombuffer(raw.as_py(), "<i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["id", "n"])
+
+    pairs = ids.where("counts is not null").select("counts").mapInArrow(work, "id long, n long")
+    got = pairs.groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(int(got["id"].max()) + 1 if len(got) else 1, np.int64)
     counts[got["id"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
     return counts
@@ -230,32 +239,33 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, path: str, max_bits: int
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, code = TaskContext.get().partitionId(), Code(lengths)
-        number = before = 0
+        number = before = size = 0
         names: list[int | None] = []
         held: list[np.ndarray] = []
 
         def block() -> pa.RecordBatch:
-            nonlocal number, before, names, held
+            nonlocal number, before, size, names, held
             data, tokens = write_block(code, names, held, before), sum(map(len, held))
             out = [[shard], [number], [names[0]], [names[-1]], [tokens], [data]]
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            number, before, names, held = number + 1, before + tokens, [], []
+            number, before, size, names, held = number + 1, before + tokens, 0, [], []
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=[x.split()[0] for x in BLOCKS.split(", ")])
 
-        size = 0
         for batch in batches:
-            for doc_id, wide, raw in zip(*batch.columns, strict=True):
-                names.append(doc_id.as_py())
-                held.append(_ids(raw.as_py(), wide.as_py()))
+            raw, at = text_buffer(batch.column(2))
+            for k, (doc_id, wide) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                names.append(doc_id)
+                held.append(np.frombuffer(raw[at[k] : at[k + 1]].tobytes(), "<u4" if wide else "<u2"))
                 size += len(held[-1])
                 if size >= BLOCK_TOKENS:
                     yield block()
-                    size = 0
         if held:
             yield block()
 
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ids.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("ids")).mapInArrow(work, BLOCKS).write.parquet(f"{path}/blocks")
+    rows = ids.where("ids is not null").select("doc_id", "wide", "ids")
+    # The hash of the ids only orders rows that repeat a doc_id.
+    rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("ids")).mapInArrow(work, BLOCKS).write.parquet(f"{path}/blocks")
     drop(spark, working)
 
 
@@ -265,8 +275,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     The driver gets one row for each shard and the table of code lengths.
     """
     lengths = np.frombuffer(bytes(spark.read.parquet(f"{path}/code").first()["lengths"]), np.uint8)
-    blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
-    shards = blocks.groupBy("shard").agg(F.min("first_doc").alias("first_doc"), F.count(F.when(F.col("first_doc").isNull(), 1)).alias("nameless"), F.sum("n_tokens").alias("n")).collect()
+    found = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
+    shards = found.groupBy("shard").agg(F.min("first_doc").alias("first_doc"), F.count(F.when(F.col("first_doc").isNull(), 1)).alias("nameless"), F.sum("n_tokens").alias("n")).collect()
     starts, total = {}, 0
     for row in sorted(shards, key=lambda r: (not r["nameless"], r["first_doc"] if r["first_doc"] is not None else 0)):
         starts[row["shard"]] = total
@@ -290,4 +300,4 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     )
                     waiting, size = [], 0
 
-    return blocks.select("shard", "data").mapInArrow(work, DOCUMENTS)
+    return found.select("shard", "data").mapInArrow(work, DOCUMENTS)

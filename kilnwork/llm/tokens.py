@@ -5,6 +5,12 @@ parts are looked up in a bounded cache, and those that are new go to the
 tokenizers library.  The ids of a text are those of its parts in order, as
 unsigned little-endian 32-bit integers.
 
+Blocks of an Arrow column are cut by numpy passes over their bytes.  A part of up
+to KEY_BYTES bytes is its own key, three 64-bit numbers and a length; keys are
+compared in full, so no two parts are ever taken for each other.  Longer parts,
+and stretches between blanks that hold an apostrophe or anything beyond ASCII and
+Latin-1 letters, are cut by regular expressions and looked up as strings.
+
 Where cuts are safe:
 - "words": white space is dropped and no token spans it, so every blank or line
   end cuts.  Letters are lowered before the look-up, as the normalizer does.
@@ -26,10 +32,16 @@ from __future__ import annotations
 import json
 import os
 import re
-import struct
 
-#: Bounds of each of the two generations of a worker's cache.
-CACHE_PARTS, CACHE_CHARS = 300_000, 12_000_000
+import numpy as np
+import pyarrow as pa
+
+from kilnwork.llm.textblocks import blocks, mix64, text_buffer
+
+#: A worker's cache is emptied at the end of a block that takes it past one of these.
+CACHE_PARTS, CACHE_BYTES = 500_000, 24_000_000
+KEY_BYTES = 24
+_SLOT_BITS = 21
 #: White space of Unicode, as the tokenizers' patterns have it (fixed values).
 WHITE = "\\x09-\\x0D\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
 #: ASCII digits and signs without the apostrophe (fixed values).
@@ -70,6 +82,12 @@ def chunking(path: str) -> str:
     if drops and local and first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert"):
         return "words"
     return "whole"
+#: Kinds of bytes: 0 blank, 1 letter (all beyond ASCII, as Latin-1 letters are), 2 other; and bytes of odd characters.
+_KIND = np.array([0 if b in (9, 10, 11, 12, 13, 32) else 1 if b >= 128 or chr(b).isalpha() else 2 for b in range(256)], np.uint8)
+_ODD = np.array([b in (0x27, 0x7F) or (b >= 0xC0 and b != 0xC3) for b in range(256)])
+_LOWER_TABLE = np.frombuffer(_LOWER, np.uint8)
+#: The lowest bytes of a 64-bit number.
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 class Encoder:
@@ -80,11 +98,22 @@ class Encoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._model = self._tokenizer.model
         self._how = chunking(path)
-        self._new: dict[str, bytes] = {}
-        self._old: dict[str, bytes] = {}
-        self._chars = 0
+        self._empty()
+
+    def _empty(self) -> None:
+        """Forgets all parts.  Entry 0 is no part's."""
+        self._known: dict[bytes, int] = {}
+        self._bytes = 0
+        self._slots = np.zeros(1 << _SLOT_BITS, np.int32)
+        self._keys = np.zeros((1024, 3), np.uint64)
+        self._sizes = np.full(1024, -1, np.int64)  # bytes of each part
+        self._at = np.zeros(1024, np.int64)  # its first id in the store
+        self._count = np.zeros(1024, np.int64)
+        self._store = np.zeros(4096, np.uint32)
+        self._entries, self._stored = 1, 0
 
-    def parts(self, text: str) -> list[str]:
+    def _cuts(self, text: str) -> list[str]:
+        """Parts of any text, by regular expressions."""
         if self._how == "whole" or "<|" in text:
             return [text]
         if _UNUSUAL(text):
@@ -93,31 +122,193 @@ class Encoder:
             return _PATTERNS[self._how].findall(text)
         return _USUAL[self._how].findall(text.lower() if self._how == "words" else text)
 
-    def _learn(self, part: str) -> bytes:
-        """Ids of a part that the young generation of the cache lacks."""
-        found = self._old.get(part)
-        if found is None:
-            if self._how != "whole" and _ONE[self._how](part):
-                ids = [t.id for t in self._model.tokenize(part.encode().decode("latin-1").translate(_ALPHABET))]
-            else:
-                ids = self._tokenizer.encode(part, add_special_tokens=False).ids
-            found = struct.pack(f"<{len(ids)}I", *ids)
-        if len(self._new) >= CACHE_PARTS or self._chars > CACHE_CHARS:
-            self._old, self._new, self._chars = self._new, {}, 0
-        self._new[part] = found
-        self._chars += len(part)
-        return found
+    def _ids(self, part: str) -> list[int]:
+        if self._how != "whole" and "<|" not in part and _ONE[self._how](part):
+            return [t.id for t in self._model.tokenize(part.encode().decode("latin-1").translate(_ALPHABET))]
+        return self._tokenizer.encode(part, add_special_tokens=False).ids
+
+    def _learn(self, raws: list[bytes], plain: bool) -> list[int]:
+        """Entries of parts (plain), or of stretches that have to be cut first; new ones are added."""
+        new = [raw for raw in dict.fromkeys(raws) if raw not in self._known]
+        if new and plain:
+            self._add(new, [self._ids(raw.decode("utf-8", "replace")) for raw in new])
+        elif new:
+            found = []
+            for raw in new:
+                parts = self._learn([p.encode("utf-8", "surrogatepass") for p in self._cuts(raw.decode("utf-8", "replace"))], True)
+                found.append([x for e in parts for x in self._store[self._at[e] : self._at[e] + self._count[e]].tolist()])
+            # A stretch may be its own only part, which is known by now.
+            fresh = [(raw, ids) for raw, ids in zip(new, found, strict=True) if raw not in self._known]
+            if fresh:
+                self._add([raw for raw, _ in fresh], [ids for _, ids in fresh])
+        return [self._known[raw] for raw in raws]
+
+    def _add(self, raws: list[bytes], ids: list[list[int]]) -> None:
+        first, last = self._entries, self._entries + len(raws)
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        ends = self._stored + np.cumsum(counts)
+        while last > len(self._at):
+            self._keys, self._at, self._count = (np.concatenate([x, np.zeros_like(x)]) for x in (self._keys, self._at, self._count))
+            self._sizes = np.concatenate([self._sizes, np.full_like(self._sizes, -1)])
+        while ends[-1] > len(self._store):
+            self._store = np.concatenate([self._store, np.zeros_like(self._store)])
+        self._store[self._stored : ends[-1]] = np.fromiter((x for part in ids for x in part), np.uint32, int(counts.sum()))
+        self._at[first:last], self._count[first:last] = ends - counts, counts
+        sizes = np.fromiter(map(len, raws), np.int64, len(raws))
+        self._sizes[first:last] = np.where(sizes <= KEY_BYTES, sizes, -1)
+        self._keys[first:last] = np.frombuffer(b"".join(raw[:KEY_BYTES].ljust(KEY_BYTES, b"\0") for raw in raws), np.uint64).reshape(-1, 3)
+        self._known.update(zip(raws, range(first, last), strict=True))
+        self._entries, self._stored, self._bytes = last, int(ends[-1]), self._bytes + int(sizes.sum() + 4 * counts.sum())
+
+    def _units(self, data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Begin and end of what is looked up, in order, and whether it is a part."""
+        kind = _KIND[data]
+        solid = kind > 0
+        first, last = solid.copy(), solid.copy()
+        change = kind[1:] != kind[:-1]
+        first[1:] &= change
+        last[:-1] &= change
+        inner = rows[(rows > 0) & (rows < len(data))]
+        first[inner], last[inner - 1] = solid[inner], solid[inner - 1]
+        begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+        odd = _ODD[data]
+        high = data >= 0x80
+        if high.any():
+            after = np.zeros(len(data), bool)
+            after[1:] = data[:-1] == 0xC3
+            odd |= ((data & 0xC0) == 0x80) & (~after | (data == 0x97) | (data == 0xB7))
+        if self._how == "spaced":
+            # Parts take the blanks in front of them; blanks at a text's end are a part.
+            border = np.zeros(len(data) + 1, bool)
+            border[end] = True
+            border[rows] = True
+            border = np.flatnonzero(border)
+            begin, end = border[:-1], border[1:]
+        plain = np.ones(len(begin), bool)
+        marks = np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|")))
+        if not len(marks) and not odd.any():
+            return begin, end, plain
+        return self._merged(data, rows, begin, end, solid, odd, marks)
+
+    def _merged(self, data: np.ndarray, rows: np.ndarray, begin: np.ndarray, end: np.ndarray, solid: np.ndarray, odd: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As _units, where stretches with odd characters, and texts that may hold special tokens, are one unit each."""
+        head, tail = solid.copy(), solid.copy()
+        head[1:] &= ~solid[:-1]
+        tail[:-1] &= ~solid[1:]
+        inner = rows[(rows > 0) & (rows < len(data))]
+        head[inner], tail[inner - 1] = solid[inner], solid[inner - 1]
+        low, high = np.flatnonzero(head), np.flatnonzero(tail) + 1  # stretches between blanks
+        row = np.searchsorted(rows, low, side="right") - 1
+        total = np.concatenate([[0], np.cumsum(odd)])
+        strange = total[high] > total[low]
+        special = np.isin(row, np.searchsorted(rows, marks, side="right") - 1)
+        # What follows a strange stretch that may end in white space of Unicode belongs to it.
+        joined = np.zeros(len(low), bool)
+        joined[:-1] = (row[1:] == row[:-1]) & (special[:-1] | (strange[:-1] & (data[high[:-1] - 1] >= 0x80)))
+        strange |= special
+        strange[1:] |= joined[:-1]
+        at = np.flatnonzero(strange)
+        opens = at[(at == 0) | ~joined[at - 1]]
+        closes = at[~joined[at]]
+        if self._how == "spaced":
+            before = np.where((opens > 0) & (row[np.maximum(opens, 1) - 1] == row[opens]), high[np.maximum(opens, 1) - 1], rows[row[opens]])
+            final = np.ones(len(low), bool)
+            final[:-1] = row[1:] != row[:-1]
+            loose = final[closes] & (special[closes] | (data[high[closes] - 1] >= 0x80))
+            after = np.where(loose, rows[row[closes] + 1], high[closes])
+        else:
+            before, after = low[opens], high[closes]
+            before = np.where(special[opens], rows[row[opens]], before)
+            after = np.where(special[closes], rows[row[closes] + 1], after)
+        place = np.searchsorted(before, begin, side="right") - 1
+        outside = (place < 0) | (begin >= after[np.maximum(place, 0)]) if len(before) else np.ones(len(begin), bool)
+        begins = np.concatenate([begin[outside], before])
+        order = np.argsort(begins, kind="stable")
+        plain = np.concatenate([np.ones(int(outside.sum()), bool), np.zeros(len(before), bool)])
+        return begins[order], np.concatenate([end[outside], after])[order], plain[order]
+
+    def _lookup(self, data: np.ndarray, cased: np.ndarray, begin: np.ndarray, end: np.ndarray, plain: np.ndarray) -> np.ndarray:
+        """The entry of each unit; new parts are learned.  Stretches that are to be cut keep their case."""
+        size = end - begin
+        out = np.zeros(len(begin), np.int64)
+        short = plain & (size <= KEY_BYTES)
+        for kind in (True, False):
+            of_kind = np.flatnonzero(~short & (plain == kind)).tolist()
+            out[of_kind] = self._learn([(data if kind else cased)[begin[k] : end[k]].tobytes() for k in of_kind], kind)
+        at = np.flatnonzero(short)
+        start, size = begin[at], size[at]
+        padded = np.concatenate([data, np.zeros(KEY_BYTES, np.uint8)])
+        eight = np.lib.stride_tricks.as_strided(padded[:8].view(np.uint64), (len(padded) - 7,), (1,))
+        keys = [eight[start] & _MASK[np.minimum(size, 8)]]
+        for k in (8, 16):
+            part = np.zeros(len(start), np.uint64)
+            longer = np.flatnonzero(size > k)
+            part[longer] = eight[start[longer] + k] & _MASK[np.minimum(size[longer] - k, 8)]
+            keys.append(part)
+        mixed = mix64(mix64(keys[0] + size.astype(np.uint64)) ^ (keys[1] * np.uint64(0x9E3779B97F4A7C15) + keys[2]))
+        slot = (mixed >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+        open_ = np.arange(len(at))
+        while True:
+            entry = self._slots[slot[open_]]
+            same = self._sizes[entry] == size[open_]
+            for k in range(3):
+                same &= self._keys[entry, k] == keys[k][open_]
+            out[at[open_[same]]] = entry[same]
+            open_ = open_[~same]
+            if not len(open_):
+                return out
+            places, one = np.unique(slot[open_], return_index=True)
+            one = open_[one].tolist()
+            self._slots[places] = self._learn([data[start[k] : start[k] + size[k]].tobytes() for k in one], True)
+
+    def column(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each whole text of a column, null counting as empty, and where each text's ids begin (and the end)."""
+        raw, offsets = text_buffer(texts)
+        found, sizes = [], [np.zeros(1, np.int64)]
+        for a, b in blocks(texts):
+            ids, counts = self._block(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], end_id)
+            found.append(ids)
+            sizes.append(counts)
+        return np.concatenate(found) if found else np.empty(0, np.uint32), np.cumsum(np.concatenate(sizes))
+
+    def _block(self, data: np.ndarray, rows: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+        if self._entries > CACHE_PARTS or self._bytes > CACHE_BYTES:
+            self._empty()
+        if not len(data):
+            begin = end = np.empty(0, np.int64)
+            plain = np.empty(0, bool)
+        elif self._how == "whole":
+            filled = np.diff(rows) > 0
+            begin, end = rows[:-1][filled], rows[1:][filled]
+            plain = np.zeros(len(begin), bool)
+        else:
+            begin, end, plain = self._units(data, rows)
+        entry = self._lookup(_lowered(data) if self._how == "words" else data, data, begin, end, plain) if len(begin) else np.empty(0, np.int64)
+        counts = self._count[entry]
+        ends = np.cumsum(counts)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self._store[np.repeat(self._at[entry] - (ends - counts), counts) + np.arange(total)]
+        starts = np.concatenate([[0], ends])[np.searchsorted(begin, rows)]
+        sizes = np.diff(starts)
+        if end_id is None:
+            return ids, sizes
+        out = np.full(total + len(sizes), end_id, np.uint32)
+        out[np.arange(total) + np.repeat(np.arange(len(sizes)), sizes)] = ids
+        return out, sizes + 1
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each whole text; null counts as empty."""
-        out = []
-        for text in texts:
-            parts = self.parts(text or "")
-            found = list(map(self._new.get, parts))
-            if None in found:
-                found = [(self._new.get(p) or self._learn(p)) if x is None else x for p, x in zip(parts, found, strict=True)]
-            out.append(b"".join(found))
-        return out
+        """The ids of each whole text, as little-endian 32-bit numbers."""
+        ids, at = self.column(pa.array(texts, pa.string()))
+        return [ids[a:b].astype("<u4").tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
+def _lowered(data: np.ndarray) -> np.ndarray:
+    """Letters of ASCII and, after their lead byte, of Latin-1 in lower case."""
+    out = _LOWER_TABLE[data]
+    after = np.flatnonzero(data[:-1] == 0xC3) + 1
+    capital = after[(data[after] >= 0x80) & (data[after] <= 0x9E) & (data[after] != 0x97)]
+    out[capital] += 0x20
+    return out
 
 
 _encoders: dict[str, Encoder] = {}
