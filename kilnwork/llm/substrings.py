@@ -6,27 +6,33 @@ starts earlier: in a document with a smaller doc_id, or earlier in its own.
 
 1. Anchors.  Every window selects the smallest hash among its ANCHOR-word runs,
    so equal windows select equal anchors.  Anchors that occur twice or more set
-   bits in a filter of fixed size (2**FILTER_BITS bits); a full filter would cost
-   speed, never results.
-2. Confirmation.  Documents are dealt to shards by a hash of doc_id.  A shard
-   sends each distinct window with a recurring anchor once, with its smallest
-   doc_id; the window's bucket finds those that recur and the document that
-   holds the first.  A window comes from each shard at most once, however many
-   copies there are.
-3. Automata.  A shard turns the recurring windows' first places in it into
-   passages, maximal runs of such windows, and compiles an Aho-Corasick automaton
-   of their texts, cut into blocks of WINDOW / 2 words: any window of a passage
-   holds a whole block.  All documents of the shard stream through it; each hit
-   is extended word by word against its passage, and where WINDOW words agree
-   they are removed, unless that place is the window's first one.
-
-Bulk arrays cross shuffles as binary columns.  Windows are compared between
-shards by 64-bit hashes, within a shard by their text (blocks) and word hashes.
+   bits in a filter of 8 bits for each (at most 2**FILTER_BITS bits in all; a full
+   filter costs speed, never results).
+2. Confirmation.  Documents are dealt to shards by a hash of doc_id and text.  A
+   shard sends each distinct window with a recurring anchor once, by a 96-bit
+   hash, with its first place there; the window's bucket finds those that recur,
+   the shard that holds the first place of all, and the shards that hold others.
+   A window comes from each shard at most once, however many copies there are.
+3. Passages.  The shard of a first place cuts the passages out of its texts:
+   maximal runs of windows that begin there and recur in the same shards.  Each
+   passage goes to all shards that hold it.
+4. Automata.  Each shard compiles an Aho-Corasick automaton of the passages sent
+   to it, cut into blocks of WINDOW / 2 words: any window of a passage holds a
+   whole block.  All documents of the shard stream through it; each hit is extended
+   word by word against its passage, and where WINDOW words agree they are removed,
+   unless that place is the passage's own.  So every document meets an automaton of
+   all recurring passages that it can hold, wherever they first occur, at a cost in
+   proportion to the texts; and nothing is removed whose words, as text, don't equal
+   an earlier place's.  A collision of hashes could only hide a repetition.
+
+Bulk arrays cross shuffles as binary columns.
 
 Edge cases: null and empty texts have no words; a document shorter than a window
 loses nothing; periodic texts lose all but the first places of their windows.
 A null doc_id sorts first; rows with the same doc_id follow one another in the
-order of their texts' hash.  An empty table gives an empty result.
+order of their texts' hash, and equal rows in any order.  Texts of any length are
+read whole.  An empty table gives an empty result.  Only doc_id and text are read,
+whatever else there is.
 """
 
 from __future__ import annotations
@@ -38,13 +44,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from kilnwork.llm.shared import stored
-from kilnwork.llm.textblocks import Words, each_block, grams
+from kilnwork.llm.shared import drop, stored
+from kilnwork.llm.textblocks import Words, distinct, each_block, grams, mix64
 
 WINDOW, ANCHOR = 20, 8
-FILTER_BITS = 27
+FILTER_BITS = 30
 SHARD_BYTES = 12_000_000
-_FLUSH = 4_000_000
+_FLUSH, _COMPARED = 4_000_000, 500_000
+_SECOND = np.uint64(0xA0761D6478BD642F)
 RESULT = "doc_id long, n_words long, n_removed long, kept_text string"
 
 
@@ -130,18 +137,25 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tupl
         yield key, rows
 
 
-def _recurring_bits(bits: int, filter_bits: int):
+def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each bucket's recurring anchors."""
+    for bucket, rows in _grouped(batches):
+        values = [np.frombuffer(h, np.uint64) for h, _ in rows]
+        twice = [v[np.unpackbits(np.frombuffer(t, np.uint8), count=len(v)).astype(bool)] for v, (_, t) in zip(values, rows, strict=True)]
+        every = np.sort(np.concatenate(values))
+        again = distinct(np.concatenate([every[1:][every[1:] == every[:-1]], *twice]))
+        yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([again.tobytes()], pa.binary())], names=["bucket", "hashes"])
+
+
+def _bits(bucket_bits: int, filter_bits: int):
     """Each bucket's part of the filter, packed."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, rows in _grouped(batches):
-            values = [np.frombuffer(h, np.uint64) for h, _ in rows]
-            twice = [v[np.unpackbits(np.frombuffer(t, np.uint8), count=len(v)).astype(bool)] for v, (_, t) in zip(values, rows, strict=True)]
-            found, counts = np.unique(np.concatenate(values), return_counts=True)
-            again = np.union1d(found[counts > 1], np.concatenate(twice))
-            part = np.zeros(1 << (filter_bits - bits), bool)
-            part[(again >> np.uint64(64 - filter_bits)).astype(np.int64) - (bucket << (filter_bits - bits))] = True
-            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([np.packbits(part).tobytes()], pa.binary())], names=["bucket", "bits"])
+        for batch in batches:
+            for bucket, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                part = np.zeros(1 << (filter_bits - bucket_bits), bool)
+                part[(np.frombuffer(raw, np.uint64) >> np.uint64(64 - filter_bits)).astype(np.int64) - (bucket << (filter_bits - bucket_bits))] = True
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([np.packbits(part).tobytes()], pa.binary())], names=["bucket", "bits"])
 
     return work
 
@@ -154,241 +168,250 @@ def _bucket_bits(df: DataFrame) -> int:
     return min(20, max(4, (2 * _parts(df) - 1).bit_length()))
 
 
-def recurring_filter(docs: DataFrame, window: int, anchor: int, filter_bits: int) -> tuple[np.ndarray, int]:
-    """The packed filter of recurring anchors, and the bytes of all texts.  The driver gets the filter's fixed size."""
-    bits = min(_bucket_bits(docs), filter_bits - 3)
-    sent, _ = stored(docs.select("text").mapInArrow(_anchors(bits, window, anchor), "bucket int, hashes binary, twice binary, bytes long"), "anchors")
+def recurring_filter(docs: DataFrame, window: int, anchor: int, most_bits: int) -> tuple[np.ndarray, int]:
+    """The packed filter of recurring anchors, and the bytes of all texts.  The driver gets at most 2**most_bits bits."""
+    spark, bucket_bits = docs.sparkSession, min(_bucket_bits(docs), most_bits - 3)
+    sent, sent_path = stored(docs.select("text").mapInArrow(_anchors(bucket_bits, window, anchor), "bucket int, hashes binary, twice binary, bytes long"), "anchors")
     total = sent.where("bucket < 0").agg(F.sum("bytes").alias("n")).first()["n"] or 0
-    rows = sent.where("bucket >= 0").select("bucket", "hashes", "twice").repartition(_parts(docs), "bucket").sortWithinPartitions("bucket").mapInArrow(_recurring_bits(bits, filter_bits), "bucket int, bits binary")
+    rows = sent.where("bucket >= 0").select("bucket", "hashes", "twice").repartition(_parts(docs), "bucket").sortWithinPartitions("bucket")
+    again, again_path = stored(rows.mapInArrow(_recurring, "bucket int, hashes binary"), "recurring")
+    anchors = again.agg(F.sum(F.octet_length("hashes")).alias("n")).first()["n"] or 0  # 8 bytes each, so 8 bits each
+    filter_bits = min(most_bits, max(bucket_bits + 3, int(anchors).bit_length()))
     packed = np.zeros(1 << (filter_bits - 3), np.uint8)
-    width = len(packed) >> bits
-    for row in rows.toLocalIterator():
+    width = len(packed) >> bucket_bits
+    for row in again.mapInArrow(_bits(bucket_bits, filter_bits), "bucket int, bits binary").toLocalIterator():
         packed[row["bucket"] * width : (row["bucket"] + 1) * width] = np.frombuffer(bytes(row["bits"]), np.uint8)
+    drop(spark, sent_path, again_path)
     return packed, total
 
 
-def _in_filter(packed: np.ndarray, values: np.ndarray, filter_bits: int) -> np.ndarray:
+def _in_filter(packed: np.ndarray, values: np.ndarray) -> np.ndarray:
+    filter_bits = (8 * len(packed)).bit_length() - 1
     place = (values >> np.uint64(64 - filter_bits)).astype(np.int64)
     return (packed[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 > 0
 
 
 def _ordered(table: pa.Table) -> pa.RecordBatch:
-    """A shard's rows in document order."""
+    """A shard's rows in document order, with a null doc_id as the smallest number."""
     table = table.select(["doc_id", "text", "tie"]).combine_chunks()
-    order = sorted(range(len(table)), key=lambda k, d=table["doc_id"].to_pylist(), t=table["tie"].to_pylist(): (d[k] is not None, d[k] or 0, t[k]))
-    ordered = table.take(pa.array(order, pa.int64())).combine_chunks()
+    key = np.asarray(table["doc_id"].fill_null(np.iinfo(np.int64).min).to_numpy(), np.int64)
+    known = np.asarray(table["doc_id"].is_valid().to_numpy(zero_copy_only=False), bool)
+    tie = np.asarray(table["tie"].to_numpy(), np.int64)
+    order = np.lexsort((tie, key, known))
+    ordered = table.take(pa.array(order)).combine_chunks()
     column = lambda name: ordered[name].chunk(0) if ordered[name].num_chunks else pa.array([], ordered[name].type)
-    return pa.RecordBatch.from_arrays([column("doc_id"), column("text")], names=["doc_id", "text"])
+    return pa.RecordBatch.from_arrays([column("doc_id"), column("text"), pa.array(key[order]), column("tie")], names=["doc_id", "text", "key", "tie"])
 
 
-def _order_key(doc_ids: pa.Array) -> np.ndarray:
-    """doc_id as a number; a null sorts first."""
-    return np.asarray(doc_ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), np.int64)
+_CANDIDATES = "bucket int, shard int, h1 binary, h2 binary, row binary, start binary, twice binary, rows binary, keys binary, ties binary"
 
 
-def _candidates(packed_of, bits: int, window: int, anchor: int, filter_bits: int):
-    """A shard's distinct windows that may recur, by bucket."""
+def _candidates(packed_of, bucket_bits: int, window: int, anchor: int, hash_bits: int):
+    """A shard's distinct windows that may recur, by bucket, each with its first place, and the documents of those."""
+    mask = np.uint64(((1 << hash_bits) - 1) << (64 - hash_bits))
 
     def work(table: pa.Table) -> pa.Table:
-        shard = table["shard"][0].as_py()
-        batch = _ordered(table)
-        docs = _order_key(batch.column(0))
-        hashes, owner = [], []
+        shard, batch = table["shard"][0].as_py(), _ordered(table)
+        keys, ties = (np.asarray(batch.column(k).to_numpy(), np.int64) for k in (2, 3))
+        found: list[tuple[np.ndarray, ...]] = [(np.empty(0, np.uint64), np.empty(0, np.uint32), np.empty(0, np.int32), np.empty(0, np.int32))]
         for a, _, words in each_block(batch, "text", lower=False):
             windows = Windows(words, window, anchor)
             starts = np.flatnonzero(windows.valid)
-            starts = starts[_in_filter(packed_of(), windows.anchors[starts], filter_bits)]
-            hashes.append(grams(words.hashes, window)[starts])
-            owner.append(docs[a + np.searchsorted(words.ptr, starts, side="right") - 1])
-        every = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
-        values, first, counts = np.unique(every, return_index=True, return_counts=True)
-        least = np.concatenate(owner)[first] if len(values) else np.empty(0, np.int64)
-        edge = _split(values, bits)
-        used = np.flatnonzero(np.diff(edge)).tolist()
-        return pa.table(
-            [pa.array(used, pa.int32()), pa.array([shard] * len(used), pa.int32()), pa.array([values[edge[k] : edge[k + 1]].tobytes() for k in used], pa.binary()), pa.array([least[edge[k] : edge[k + 1]].tobytes() for k in used], pa.binary()), pa.array([np.packbits(counts[edge[k] : edge[k + 1]] > 1).tobytes() for k in used], pa.binary())],
-            names=["bucket", "shard", "hashes", "docs", "twice"],
-        )
+            starts = starts[_in_filter(packed_of(), windows.anchors[starts])]
+            row = np.searchsorted(words.ptr, starts, side="right") - 1
+            first = grams(words.hashes, window)[starts] & mask
+            second = (grams(mix64(words.hashes ^ _SECOND), window)[starts] & mask) >> np.uint64(32)
+            found.append((first, second.astype(np.uint32), (row + a).astype(np.int32), (starts - words.ptr[row]).astype(np.int32)))
+        h1, h2, row, start = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((h2, h1))  # stable: of equal windows, the first place comes first
+        h1, h2, row, start = h1[order], h2[order], row[order], start[order]
+        head = np.ones(len(h1), bool)
+        head[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+        begin = np.flatnonzero(head)
+        twice = np.diff(np.append(begin, len(h1))) > 1
+        h1, h2, row, start = h1[begin], h2[begin], row[begin], start[begin]
+        edge = _split(h1, bucket_bits)
+        out = []
+        for k in np.flatnonzero(np.diff(edge)).tolist():
+            part = slice(edge[k], edge[k + 1])
+            docs = distinct(row[part])
+            arrays = (h1[part], h2[part], row[part], start[part], np.packbits(twice[part]), docs, keys[docs], ties[docs])
+            out.append((k, shard, *(x.tobytes() for x in arrays)))
+        names = [x.split()[0] for x in _CANDIDATES.split(", ")]
+        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 8]
+        return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=names)
 
     return work
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each shard, the recurring windows it holds and whether it holds the first place."""
+    """For each shard, the recurring windows with their first place there, and each shard that holds them again."""
     for _, rows in _grouped(batches):
-        values = [np.frombuffer(r[1], np.uint64) for r in rows]
-        sizes = [len(v) for v in values]
-        every = np.concatenate(values)
-        docs = np.concatenate([np.frombuffer(r[2], np.int64) for r in rows])
-        twice = np.concatenate([np.unpackbits(np.frombuffer(r[3], np.uint8), count=n) for r, n in zip(rows, sizes, strict=True)]).astype(bool)
-        order = np.lexsort((docs, every))
-        ordered = every[order]
-        head = np.ones(len(ordered), bool)
-        head[1:] = ordered[1:] != ordered[:-1]
-        group = np.cumsum(head) - 1
-        again = (np.bincount(group) > 1) | (np.bincount(group, weights=twice[order]) > 0)
-        first, recurs = np.zeros(len(every), bool), np.zeros(len(every), bool)
-        first[order], recurs[order] = head, again[group]
-        at = np.cumsum([0, *sizes])
-        shards, out_hashes, out_first = [], [], []
-        for k, row in enumerate(rows):
-            part = recurs[at[k] : at[k + 1]]
-            if part.any():
-                shards.append(row[0])
-                out_hashes.append(values[k][part].tobytes())
-                out_first.append(first[at[k] : at[k + 1]][part].astype(np.uint8).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(out_hashes, pa.binary()), pa.array(out_first, pa.binary())], names=["shard", "hashes", "first"])
-
-
-class _Shard:
-    """All words of a shard's documents in one row, and what is removed of them."""
-
-    def __init__(self, batch: pa.RecordBatch, window: int):
-        self.doc_ids, self.texts, self.window = batch.column(0), batch.column(1), window
-        hashes, ptr = [], [np.zeros(1, np.int64)]
-        total = 0
-        for _, _, words in each_block(batch, "text", lower=False):
-            hashes.append(words.hashes)
-            ptr.append(words.ptr[1:] + total)
-            total += len(words.hashes)
-        self.hashes = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
-        self.ptr = np.concatenate(ptr)
-        self.gone = np.zeros(len(self.hashes), bool)
-
-    def passages(self, recurring: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start, end and ownership of runs of windows at their first place in the shard.
-
-        Owned passages' windows have their first place of all here.
-        """
-        every = grams(self.hashes, self.window)
-        table = np.zeros(1 << 20, bool)
-        table[(recurring >> np.uint64(44)).astype(np.int64)] = True
-        starts = np.flatnonzero(table[(every >> np.uint64(44)).astype(np.int64)])
-        row = np.searchsorted(self.ptr, starts, side="right") - 1
-        starts = starts[starts + self.window <= self.ptr[row + 1]]
-        place = np.minimum(np.searchsorted(recurring, every[starts]), len(recurring) - 1)
-        same = recurring[place] == every[starts]
-        starts, place = starts[same], place[same]
-        _, earliest = np.unique(place, return_index=True)
-        earliest.sort()
-        starts, owned = starts[earliest], first[place[earliest]]
-        row = np.searchsorted(self.ptr, starts, side="right") - 1
-        if not len(starts):
-            return starts, starts, owned
-        cut = np.flatnonzero((np.diff(starts) != 1) | (owned[1:] != owned[:-1]) | (np.diff(row) != 0)) + 1
-        begin = np.concatenate([[0], cut])
-        end = np.concatenate([cut, [len(starts)]]) - 1
-        return starts[begin], starts[end] + self.window, owned[begin]
-
-    def plain(self, i: int) -> bytes:
-        """A document's words between single blanks, one at either end."""
-        text = self.texts[i].as_py()
-        return b" %b " % b" ".join((text or "").encode("utf-8", "surrogatepass").split())
-
-    def remove(self, begin: np.ndarray, end: np.ndarray, owned: np.ndarray) -> None:
-        step = self.window // 2
-        automaton = ahocorasick.Automaton()
-        values: dict[str, list[int]] = {}
-        origin: list[np.ndarray] = []  # of each pattern: (passage, first word) pairs
-        of_row = np.searchsorted(self.ptr, begin, side="right") - 1
-        for i in np.unique(of_row).tolist():
-            words = self.plain(i).split()
-            base = int(self.ptr[i])
-            for p in range(*np.searchsorted(of_row, [i, i + 1])):
-                for at in range(int(begin[p]), int(end[p]) - step + 1, step):
-                    key = (b" %b " % b" ".join(words[at - base : at - base + step])).decode("latin-1")
-                    values.setdefault(key, []).extend((p, at))
-        for key, found in values.items():
-            automaton.add_word(key, (len(origin), len(key)))
-            origin.append(np.array(found, np.int64).reshape(-1, 2))
-        if not origin:
-            return
-        automaton.make_automaton()
-        hit_pattern: list[int] = []
-        hit_word: list[np.ndarray] = []
-        for i in range(len(self.texts)):
-            if self.ptr[i + 1] - self.ptr[i] < self.window:
-                continue
-            plain = self.plain(i)
-            places, patterns = [], []
-            for stop, (pattern, length) in automaton.iter(plain.decode("latin-1")):
-                places.append(stop - length + 1)
-                patterns.append(pattern)
-            if places:
-                blanks = np.flatnonzero(np.frombuffer(plain, np.uint8) == 32)
-                hit_word.append(np.searchsorted(blanks, places) + self.ptr[i])
-                hit_pattern += patterns
-        words = np.concatenate(hit_word)
-        patterns = np.array(hit_pattern, np.int64)
-        counts = np.array([len(o) for o in origin], np.int64)[patterns]
+        h1 = np.concatenate([np.frombuffer(r[1], np.uint64) for r in rows])
+        h2 = np.concatenate([np.frombuffer(r[2], np.uint32) for r in rows])
+        row, start = (np.concatenate([np.frombuffer(r[k], np.int32) for r in rows]) for k in (3, 4))
+        sizes = [len(r[1]) // 8 for r in rows]
+        source = np.repeat(np.arange(len(rows)), sizes)
+        twice = np.concatenate([np.unpackbits(np.frombuffer(r[5], np.uint8), count=n) for r, n in zip(rows, sizes, strict=True)]).astype(bool)
+        place = np.split(row, np.cumsum(sizes)[:-1])
+        at = [np.searchsorted(np.frombuffer(r[6], np.int32), p) for r, p in zip(rows, place, strict=True)]
+        key, tie = (np.concatenate([np.frombuffer(r[k], np.int64)[i] for r, i in zip(rows, at, strict=True)]) for k in (7, 8))
+        order = np.lexsort((tie, key, h2, h1))
+        head = np.ones(len(order), bool)
+        head[1:] = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
+        owner = order[np.flatnonzero(head)][np.cumsum(head) - 1]  # of each window in order: the entry with the first place
+        again = (owner != order) | twice[order]
+        owner, target = owner[again], np.array([r[0] for r in rows], np.int32)[source[order[again]]]
+        by = np.argsort(source[owner], kind="stable")
+        owner, target = owner[by], target[by]
+        edge = np.searchsorted(source[owner], np.arange(len(rows) + 1))
+        used = np.flatnonzero(np.diff(edge)).tolist()
+        columns = [[row[owner[edge[k] : edge[k + 1]]].tobytes() for k in used], [start[owner[edge[k] : edge[k + 1]]].tobytes() for k in used], [target[edge[k] : edge[k + 1]].tobytes() for k in used]]
+        yield pa.RecordBatch.from_arrays([pa.array([rows[k][0] for k in used], pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], names=["shard", "row", "start", "target"])
+
+
+def _words(text: pa.Scalar) -> list[bytes]:
+    return (text.as_py() or "").encode("utf-8", "surrogatepass").split()
+
+
+_PASSAGES = "owner int, row int, start int, text binary, targets array<int>"
+
+
+def _passages(window: int):
+    """The passages of a shard that recur, and the shards that hold them."""
+
+    def work(docs: pa.Table, found: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if len(found) and len(docs):
+            owner, texts = docs["shard"][0].as_py(), _ordered(docs).column(1)
+            row, start, target = (np.frombuffer(b"".join(found[c].to_pylist()), np.int32) for c in ("row", "start", "target"))
+            order = np.lexsort((start, target, row))
+            row, start, target = row[order], start[order], target[order]
+            cut = np.flatnonzero((np.diff(row) != 0) | (np.diff(target) != 0) | (np.diff(start) != 1)) + 1
+            first, last = np.concatenate([[0], cut]), np.concatenate([cut, [len(row)]]) - 1
+            runs: dict[tuple[int, int, int], list[int]] = {}
+            for r, a, b, t in zip(row[first].tolist(), start[first].tolist(), start[last].tolist(), target[first].tolist(), strict=True):
+                runs.setdefault((r, a, b + window), []).append(t)
+            words, of_row = [], -1
+            for (r, a, b), targets in runs.items():  # rows rise
+                if r != of_row:
+                    words, of_row = _words(texts[r]), r
+                out.append((owner, r, a, b" ".join(words[a:b]), targets))
+        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int32())]
+        return pa.table([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names=[x.split()[0] for x in _PASSAGES.split(", ")])
+
+    return work
+
+
+class Automaton:
+    """The passages of a shard, found in texts by their blocks and confirmed word by word."""
+
+    def __init__(self, texts: list[bytes], own: list[bool], rows: list[int], starts: list[int], window: int):
+        self.window, self.step = window, window // 2
+        self._ids: dict[bytes, int] = {}
+        words = [self._numbered(t.split()) for t in texts]
+        self._begin = np.cumsum([0, *(len(w) for w in words)])
+        self._passage = np.concatenate(words)
+        self._own, self._row, self._start = np.array(own, bool), np.array(rows, np.int64), np.array(starts, np.int64)
+        blocks: dict[str, list[tuple[int, int]]] = {}
+        for p, text in enumerate(texts):
+            parts = text.split()
+            for at in range(0, len(parts) - self.step + 1, self.step):
+                key = (b" %b " % b" ".join(parts[at : at + self.step])).decode("latin-1")
+                blocks.setdefault(key, []).append((p, at))
+        self._automaton = ahocorasick.Automaton()
+        self._origin: list[np.ndarray] = []
+        for key, origin in blocks.items():
+            self._automaton.add_word(key, (len(self._origin), len(key)))
+            self._origin.append(np.array(origin, np.int64).reshape(-1, 2))
+        self._automaton.make_automaton()
+
+    def _numbered(self, words: list[bytes]) -> np.ndarray:
+        """Words as numbers, the same for the same word only."""
+        ids = self._ids
+        return np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, len(words))
+
+    def gone(self, row: int, words: list[bytes]) -> np.ndarray | None:
+        """Which words of a document are removed; None for none."""
+        plain = b" %b " % b" ".join(words)
+        stops, patterns = [], []
+        for stop, (pattern, length) in self._automaton.iter(plain.decode("latin-1")):
+            stops.append(stop - length + 1)
+            patterns.append(pattern)
+        if not stops:
+            return None
+        at = np.searchsorted(np.flatnonzero(np.frombuffer(plain, np.uint8) == 32), stops)
+        counts = np.array([len(self._origin[k]) for k in patterns], np.int64)
         limit = np.cumsum(counts)
-        at = 0
-        while at < len(words):  # a bounded number of comparisons at a time
-            upto = max(at + 1, int(np.searchsorted(limit, (limit[at - 1] if at else 0) + 500_000, side="right")))
-            pairs = np.concatenate([origin[k] for k in patterns[at:upto].tolist()])
-            self._extend(np.repeat(words[at:upto], counts[at:upto]), pairs[:, 1], begin[pairs[:, 0]], end[pairs[:, 0]], owned[pairs[:, 0]])
-            at = upto
-
-    def _extend(self, word: np.ndarray, source: np.ndarray, begin: np.ndarray, end: np.ndarray, owned: np.ndarray) -> None:
-        """Extends hits (a block's place here and in its passage) by word, and removes what is long enough."""
-        step = self.window // 2
-        other = ~(owned & (word == source))
-        word, source, begin, end = word[other], source[other], begin[other], end[other]
-        row = np.searchsorted(self.ptr, word, side="right") - 1
-        low, high = self.ptr[row], self.ptr[row + 1]
-        reach = self.window - step
+        known = self._ids
+        mine = np.fromiter((known.get(w, -1) for w in words), np.int64, len(words))
+        edge = np.zeros(len(words) + 1, np.int64)
+        k = 0
+        while k < len(at):  # a bounded number of comparisons at a time
+            upto = max(k + 1, int(np.searchsorted(limit, (limit[k - 1] if k else 0) + _COMPARED, side="right")))
+            origin = np.concatenate([self._origin[p] for p in patterns[k:upto]])
+            self._extend(row, mine, np.repeat(at[k:upto], counts[k:upto]), origin[:, 0], origin[:, 1], edge)
+            k = upto
+        return np.cumsum(edge[:-1]) > 0
+
+    def _extend(self, row: int, mine: np.ndarray, word: np.ndarray, passage: np.ndarray, at: np.ndarray, edge: np.ndarray) -> None:
+        """Extends hits (a block's place here and in its passage) by word, and marks what is long enough."""
+        itself = self._own[passage] & (self._row[passage] == row) & (self._start[passage] + at == word)
+        word, passage, at = word[~itself], passage[~itself], at[~itself]
+        begin, size = self._begin[passage], self._begin[passage + 1] - self._begin[passage]
+        reach = self.window - self.step
+        left, right = np.zeros(len(word), np.int64), np.zeros(len(word), np.int64)
         more = np.ones(len(word), bool)
-        left = np.zeros(len(word), np.int64)
         for k in range(1, reach + 1):
-            more &= (word - k >= low) & (source - k >= begin)
-            more[more] = self.hashes[word[more] - k] == self.hashes[source[more] - k]
+            more &= (word - k >= 0) & (at - k >= 0)
+            more[more] = mine[word[more] - k] == self._passage[begin[more] + at[more] - k]
             left += more
         more = np.ones(len(word), bool)
-        right = np.zeros(len(word), np.int64)
-        for k in range(reach):
-            more &= (word + step + k < high) & (source + step + k < end)
-            more[more] = self.hashes[word[more] + step + k] == self.hashes[source[more] + step + k]
+        for k in range(self.step, self.step + reach):
+            more &= (word + k < len(mine)) & (at + k < size)
+            more[more] = mine[word[more] + k] == self._passage[begin[more] + at[more] + k]
             right += more
-        enough = left + step + right >= self.window
-        edge = np.zeros(len(self.gone) + 1, np.int64)
+        enough = left + self.step + right >= self.window
         np.add.at(edge, (word - left)[enough], 1)
-        np.subtract.at(edge, (word + step + right)[enough], 1)
-        self.gone |= np.cumsum(edge[:-1]) > 0
-
-    def result(self) -> pa.Table:
-        removed = np.concatenate([[0], np.cumsum(self.gone)])
-        kept = []
-        for i in range(len(self.texts)):
-            a, b = int(self.ptr[i]), int(self.ptr[i + 1])
-            words = self.plain(i).split()
-            if removed[b] > removed[a]:
-                words = [w for w, gone in zip(words, self.gone[a:b].tolist(), strict=True) if not gone]
-            kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
-        return pa.table([self.doc_ids, pa.array(np.diff(self.ptr), pa.int64()), pa.array(removed[self.ptr[1:]] - removed[self.ptr[:-1]], pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
+        np.subtract.at(edge, (word + self.step + right)[enough], 1)
 
 
 def _removed(window: int):
     def work(docs: pa.Table, found: pa.Table) -> pa.Table:
-        shard = _Shard(_ordered(docs), window)
-        recurring = np.frombuffer(b"".join(found["hashes"].to_pylist()), np.uint64)
-        first = np.frombuffer(b"".join(found["first"].to_pylist()), np.uint8).astype(bool)
-        if len(recurring):
-            order = np.argsort(recurring, kind="stable")
-            shard.remove(*shard.passages(recurring[order], first[order]))
-        return shard.result()
+        batch = _ordered(docs)
+        columns = [found[c].to_pylist() for c in ("text", "own", "row", "start")]
+        automaton = Automaton(*columns, window) if len(found) else None
+        n_words, n_removed, kept = [], [], []
+        for i in range(batch.num_rows):
+            words = _words(batch.column(1)[i])
+            gone = automaton.gone(i, words) if automaton and len(words) >= window else None
+            n_words.append(len(words))
+            n_removed.append(0 if gone is None else int(gone.sum()))
+            if gone is not None and n_removed[-1]:
+                words = [w for w, x in zip(words, gone.tolist(), strict=True) if not x]
+            kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
+        columns = [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())]
+        return pa.table(columns, names=[x.split()[0] for x in RESULT.split(", ")])
 
     return work
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, filter_bits: int = FILTER_BITS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """doc_id, n_words, n_removed and kept_text (kept words joined by one blank) of every document."""
+def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, filter_bits: int = FILTER_BITS, shard_bytes: int = SHARD_BYTES, hash_bits: int = 64) -> DataFrame:
+    """doc_id, n_words, n_removed and kept_text (kept words joined by one blank) of every document.
+
+    hash_bits: fewer than 64 make windows' hashes collide; results then keep too much, never too little.
+    """
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     packed, total = recurring_filter(source, window, anchor, filter_bits)
     shared = spark.sparkContext.broadcast(packed)
     shards = max(1, -(-total // shard_bytes))
-    sharded = source.select("doc_id", "text", F.xxhash64("text").alias("tie"), F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"))
+    tie = F.xxhash64("text")
+    sharded = source.select("doc_id", "text", tie.alias("tie"), F.pmod(F.xxhash64("doc_id", tie), F.lit(shards)).cast("int").alias("shard"))
     bits = _bucket_bits(docs)
-    sent = sharded.groupBy("shard").applyInArrow(_candidates(lambda: shared.value, bits, window, anchor, filter_bits), "bucket int, shard int, hashes binary, docs binary, twice binary")
-    found = sent.repartition(_parts(docs), "bucket").sortWithinPartitions("bucket").mapInArrow(_confirmed, "shard int, hashes binary, first binary")
-    return sharded.groupBy("shard").cogroup(found.groupBy("shard")).applyInArrow(_removed(window), RESULT)
+    sent = sharded.groupBy("shard").applyInArrow(_candidates(lambda: shared.value, bits, window, anchor, hash_bits), _CANDIDATES)
+    found = sent.repartition(_parts(docs), "bucket").sortWithinPartitions("bucket").mapInArrow(_confirmed, "shard int, row binary, start binary, target binary")
+    passages = sharded.groupBy("shard").cogroup(found.groupBy("shard")).applyInArrow(_passages(window), _PASSAGES)
+    target = passages.select("owner", "row", "start", "text", F.explode("targets").alias("shard"))
+    routed = target.select("shard", (F.col("shard") == F.col("owner")).alias("own"), "row", "start", "text")
+    return sharded.groupBy("shard").cogroup(routed.groupBy("shard")).applyInArrow(_removed(window), RESULT)
