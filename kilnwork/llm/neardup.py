@@ -14,21 +14,31 @@ connected components of the links.
    cost nothing more.
 3. Banding.  Classes that share a band meet in a bucket.  The number of bands
    makes a pair at the threshold miss with a probability under MISS.  Buckets
-   with the same members are kept once.
-4. Verification on full sets, bucket by bucket: a member of the smallest group is
-   compared with all members of other groups at once, until at most one group
-   holds members that were not compared.  Pairs are never emitted; a bucket
-   returns the links of a spanning forest.  Buckets of more than BLOCK_ELEMENTS
-   shingles are split into blocks, each with the bucket's first class; after the
-   components of all those links, only members outside a bucket's main group are
-   compared across blocks.
+   with the same members are kept once.  Only texts of classes in a bucket are
+   read again; a broadcast of at most SLOTS hashed ids tells them in the scan
+   (beyond that, a join does).
+4. Verification on full sets, bucket by bucket, without emitting pairs.  A pair
+   at the threshold shares one of either set's rarest shingles, as many as may be
+   missing (prefix filtering, exact); members meet by those.  Of those that meet,
+   a member of the smallest group is compared with all of other groups at once,
+   until at most one group holds members that were not compared.  A bucket returns
+   the links of a spanning forest.
+   Buckets of more than BLOCK_ELEMENTS shingles or BLOCK_MEMBERS classes are split
+   into blocks, each with the bucket's first class.  After the components of all
+   those links, members of such buckets meet again by their rarest shingles, on
+   tables; where several components meet, members outside the main one are
+   compared with all others, in blocks.
 5. Components by alternating large-star and small-star steps on tables; the
-   driver gets a count and a checksum.
+   driver gets a count and a checksum.  Hubs with more than a partition's share of
+   the edges are joined by broadcast, at most one for each partition.
 
 Sets hold 64-bit hashes of shingles.  Edge cases: a document with fewer words
 than a shingle is one shingle, its whole sequence; one without words or with a
 null text has an empty set, links with nothing and is its own group.  A null
-doc_id takes no part and keeps a null group.  Repeated rows are copies.
+doc_id takes no part and keeps a null group.  Repeated rows are copies; rows of
+one doc_id with different texts are of one group.  A group's name is its smallest
+doc_id, so ties don't arise.  Texts of any length are read whole.  Other columns
+are not read, and keep_one carries them whatever their names.
 """
 
 from __future__ import annotations
@@ -39,18 +49,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kilnwork.llm.shared import drop, stored
 from kilnwork.llm.textblocks import each_block, mix64, shingle_sets
 
 ROWS_PER_BAND = 6
 MISS = 1e-5
-BLOCK_ELEMENTS = 2_000_000
+BLOCK_ELEMENTS, BLOCK_MEMBERS = 2_000_000, 20_000
 _DIGEST = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
 _STAGE_ELEMENTS = 200_000
-#: A class with more than this share of all documents counts as hot; there can be no more than its inverse.
-HOT_SHARE = 1 / 2000
+#: Hashed ids in a broadcast, and rows of bucket members in one (about 40 bytes each).
+SLOTS, BROADCAST_ROWS = 1 << 20, 1 << 19
+#: A graph with fewer edges needs no split of hubs.
+HUB_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -141,7 +153,9 @@ def signed(docs: DataFrame, rule: Rule) -> DataFrame:
                 keys = band_keys(signatures(sets, bands * ROWS_PER_BAND), bands)
                 digests = [digest(s) for s in sets]
                 ends = np.arange(len(sets) + 1, dtype=np.int32) * bands
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.reshape(-1)))], names=["doc_id", "n_shingles", "d1", "d2", "bands"])
+                numbers = [pa.array(x, pa.int64()) for x in ([len(s) for s in sets], [d[0] for d in digests], [d[1] for d in digests])]
+                every = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *numbers, every], names=["doc_id", "n_shingles", "d1", "d2", "bands"])
 
     return _texts(docs).mapInArrow(work, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>")
 
@@ -150,38 +164,79 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def sets_of(docs: DataFrame, needed: DataFrame, rule: Rule) -> DataFrame:
-    """(class_id, elements) of the classes in ``needed`` (class_id, d1, d2)."""
+def _slots(ids: DataFrame, column: str) -> DataFrame | None:
+    """Hashes of a small table's ids, at most SLOTS; None for a larger table."""
+    if ids.limit(SLOTS + 1).count() > SLOTS:
+        return None
+    return ids.select(F.pmod(F.xxhash64(column), F.lit(SLOTS)).alias("slot")).distinct()
+
+
+def _narrowed(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """rows without most of those whose column is not in ids; a broadcast if ids are few, else an exact join."""
+    slots = _slots(ids, column)
+    if slots is None:
+        return rows.join(ids.select(column).distinct(), column, "left_semi")
+    return rows.join(F.broadcast(slots), F.pmod(F.xxhash64(column), F.lit(SLOTS)) == F.col("slot"), "left_semi")
+
+
+def sets_of(docs: DataFrame, needed: DataFrame, rule: Rule, repeats: bool = True) -> DataFrame:
+    """(class_id, d1, elements) of the classes in ``needed`` (class_id), and of some others.
+
+    repeats: rows may repeat a doc_id; each of its sets is returned once.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wanted = list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True))
             for a, b, words in each_block(batch, "text", lower=True):
                 sets = list(shingle_sets(words, rule.shingle))
-                same = [k for k, s in enumerate(sets) if digest(s) == wanted[a + k]]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(same, pa.int64())), pa.array([sets[k].tobytes() for k in same], pa.binary())], names=["class_id", "elements"])
+                first = pa.array([digest(s)[0] for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), first, pa.array([s.tobytes() for s in sets], pa.binary())], names=["class_id", "d1", "elements"])
 
     named = _texts(docs).withColumnRenamed("doc_id", "class_id")
-    return named.join(needed, "class_id").select("class_id", "text", "d1", "d2").mapInArrow(work, "class_id long, elements binary")
+    found = _narrowed(named, "class_id", needed).select("class_id", "text").mapInArrow(work, "class_id long, d1 long, elements binary")
+    return found.dropDuplicates(["class_id", "d1"]) if repeats else found
 
 
 class _Groups:
-    """Union-find over the members of one bucket."""
+    """Union-find over the members of one bucket, many at a time."""
 
     def __init__(self, labels: np.ndarray):
-        self.label = labels.copy()
-
-    def join(self, i: int, others: np.ndarray) -> None:
-        for x in np.unique(self.label[others]):
-            self.label[self.label == x] = self.label[i]
-
-    def smallest(self, waiting: np.ndarray) -> int | None:
-        """A member of the smallest group among those waiting; None if they are all of one group."""
-        mine = self.label[waiting]
-        values, counts = np.unique(mine, return_counts=True)
-        if len(values) < 2:
-            return None
-        return int(waiting[np.argmax(mine == values[np.argmin(counts)])])
+        _, first, inverse = np.unique(labels, return_index=True, return_inverse=True)
+        self.parent = first[inverse]
+        self.size = np.bincount(self.parent, minlength=len(labels))
+
+    def roots(self, members: np.ndarray) -> np.ndarray:
+        root = self.parent[members]
+        while len(moved := np.flatnonzero(self.parent[root] != root)):
+            root[moved] = self.parent[root[moved]]
+        self.parent[members] = root
+        return root
+
+    def join(self, roots: np.ndarray) -> None:
+        """Makes one group of distinct groups."""
+        top = roots[np.argmax(self.size[roots])]
+        self.size[top] = self.size[roots].sum()
+        self.parent[roots] = top
+
+
+def _prefix(size: np.ndarray, rule: Rule) -> np.ndarray:
+    """How many of a set's rarest elements to compare: a similar set has to share one of them."""
+    return size - -(-rule.numerator * size // rule.denominator) + 1
+
+
+def _meetings(inverse: np.ndarray, sizes: np.ndarray, rule: Rule) -> Iterator[np.ndarray]:
+    """Members that share one of their rarest elements, for each such element."""
+    rarity = np.bincount(inverse)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((inverse, rarity[inverse], owner))
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    kept = order[place < np.repeat(_prefix(sizes, rule), sizes)]
+    kept = kept[rarity[inverse[kept]] > 1]
+    kept = kept[np.argsort(inverse[kept], kind="stable")]
+    edges = np.flatnonzero(np.diff(inverse[kept])) + 1
+    for members in np.split(owner[kept], edges) if len(kept) else []:
+        if len(members) > 1:
+            yield members
 
 
 def links(ids: list[int], sets: list[np.ndarray], rule: Rule, labels: np.ndarray | None = None, centres: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -192,34 +247,46 @@ def links(ids: list[int], sets: list[np.ndarray], rule: Rule, labels: np.ndarray
     """
     sizes = np.array([len(s) for s in sets], np.int64)
     if len(ids) == 2 and labels is None:
-        shared = len(sets[0]) + len(sets[1]) - len(np.union1d(*sets))
+        both = np.sort(np.concatenate(sets))
+        shared = int((both[1:] == both[:-1]).sum())
         linked = rule.denominator * shared >= rule.numerator * (int(sizes.sum()) - shared)
         return [(ids[0], ids[1])] if linked and ids[0] != ids[1] else []
-    groups = _Groups(np.arange(len(ids)) if labels is None else np.unique(labels, return_inverse=True)[1])
-    inverse = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    groups = _Groups(np.arange(len(ids)) if labels is None else labels)
+    every = np.concatenate(sets)
+    order = np.argsort(every, kind="stable")
+    inverse = np.empty(len(every), np.int64)
+    inverse[order] = np.cumsum(np.concatenate([[0], np.diff(every[order]) != 0]))
     starts = np.cumsum(sizes) - sizes
     mark = np.zeros(int(inverse.max()) + 1, np.int64)
+    is_centre = np.ones(len(ids), bool)
+    if centres is not None:
+        is_centre[:] = False
+        is_centre[centres] = True
     out: list[tuple[int, int]] = []
-    waiting = np.arange(len(ids)) if centres is None else np.asarray(centres)
-    while len(waiting):
-        if centres is None:
-            i = groups.smallest(waiting)
-            if i is None:
+    for members in _meetings(inverse, sizes, rule):
+        waiting = members[is_centre[members]]
+        while len(waiting):
+            root, mine = groups.roots(members), groups.roots(waiting)
+            if (root == root[0]).all() or (centres is None and (mine == mine[0]).all()):
                 break
-        else:
-            i = int(waiting[0])
-        waiting = waiting[waiting != i]
-        mine = inverse[starts[i] : starts[i] + sizes[i]]
-        mark[mine] = 1
-        shared = np.add.reduceat(mark[inverse], starts)
-        mark[mine] = 0
-        linked = (rule.denominator * shared >= rule.numerator * (sizes + sizes[i] - shared)) & (groups.label != groups.label[i])
-        found = np.flatnonzero(linked)
-        if len(found):
-            values, at = np.unique(groups.label[found], return_index=True)
-            out += [(ids[i], ids[int(found[k])]) for k in at]
-            groups.join(i, found)
-    return out
+            i = int(waiting[np.argmin(groups.size[mine])])
+            waiting = waiting[waiting != i]
+            near = rule.denominator * np.minimum(sizes[members], sizes[i]) >= rule.numerator * np.maximum(sizes[members], sizes[i])
+            others = members[near & (root != groups.roots(np.array([i]))[0])]
+            if not len(others):
+                continue
+            ends = np.cumsum(sizes[others])
+            at = np.repeat(starts[others] - (ends - sizes[others]), sizes[others]) + np.arange(ends[-1])
+            own = inverse[starts[i] : starts[i] + sizes[i]]
+            mark[own] = 1
+            shared = np.add.reduceat(mark[inverse[at]], ends - sizes[others])
+            mark[own] = 0
+            linked = others[rule.denominator * shared >= rule.numerator * (sizes[others] + sizes[i] - shared)]
+            if len(linked):
+                values, first = np.unique(groups.roots(linked), return_index=True)
+                out += [(ids[i], ids[int(k)]) for k in linked[first]]
+                groups.join(np.concatenate([groups.roots(np.array([i])), values]))
+    return [(a, b) for a, b in out if a != b]
 
 
 def _buckets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[tuple, list[tuple]]]:
@@ -240,22 +307,23 @@ def _buckets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[tu
 def _linked(rows: DataFrame, rule: Rule, width: int, across: bool) -> DataFrame:
     """Links of every bucket; rows come sorted by their first ``width`` columns.
 
-    Further columns: class_id, elements, and for ``across`` label and centre.
+    Further columns: class_id, d1, elements, and for ``across`` label and centre.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
         for _, members in _buckets(batches, width):
-            merged: dict[int, tuple] = {}
+            merged: dict[tuple, tuple] = {}
             for m in members:
-                merged[m[0]] = m if m[0] not in merged or not across else (*m[:3], m[3] or merged[m[0]][3])
+                seen = merged.get(m[:2])
+                merged[m[:2]] = m if seen is None or not across else (*m[:4], m[4] or seen[4])
             members = list(merged.values())
             if len(members) > 1:
-                sets = [np.frombuffer(m[1], np.uint64) for m in members]
+                sets = [np.frombuffer(m[2], np.uint64) for m in members]
                 ids = [m[0] for m in members]
                 if across:
-                    labels = np.array([m[2] for m in members], np.int64)
-                    out += links(ids, sets, rule, labels, np.flatnonzero([m[3] for m in members]))
+                    labels = np.array([m[3] for m in members], np.int64)
+                    out += links(ids, sets, rule, labels, np.flatnonzero([m[4] for m in members]))
                 else:
                     out += links(ids, sets, rule)
             if len(out) >= 10_000:
@@ -284,10 +352,17 @@ def components(edges: DataFrame) -> tuple[DataFrame, str | None]:
     edges: (a, b), a > b.  Returns the working table's path too.
     """
 
-    def star(pairs: DataFrame, large: bool) -> DataFrame:
+    def star(pairs: DataFrame, large: bool, n_edges: int) -> DataFrame:
         both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else pairs
-        least = both.groupBy("a").agg(F.min("b").alias("m"))
-        joined = both.join(least.select(F.col("a").alias("u"), F.least("m", "a").alias("m")), F.col("a") == F.col("u"))
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select(F.col("a").alias("u"), F.least("m", "a").alias("m"), "n")
+        if n_edges < HUB_ROWS:
+            joined = both.join(least, F.col("a") == F.col("u"))
+        else:
+            share = max(HUB_ROWS, 2 * n_edges // _parts(pairs))
+            hubs = F.broadcast(least.where(F.col("n") > share).select(F.col("u").alias("hub"), F.col("m").alias("hub_m")))  # at most one for each partition
+            marked = both.join(hubs, F.col("a") == F.col("hub"), "left")
+            cold = marked.where("hub is null").select("a", "b").join(least, F.col("a") == F.col("u")).select("a", "b", "m")
+            joined = cold.unionAll(marked.where("hub is not null").select("a", "b", F.col("hub_m").alias("m")))
         if large:
             return joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         kept = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -300,7 +375,7 @@ def components(edges: DataFrame) -> tuple[DataFrame, str | None]:
     now, path = stored(edges.where("a <> b").distinct(), "links")
     before = checksum(now)
     while before[0]:
-        nearer, next_path = stored(star(star(now, True), False), "links")
+        nearer, next_path = stored(star(star(now, True, before[0]), False, before[0]), "links")
         after = checksum(nearer)
         drop(spark, path)
         now, path = nearer, next_path
@@ -310,70 +385,140 @@ def components(edges: DataFrame) -> tuple[DataFrame, str | None]:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")), path
 
 
-def _size(elements: Column) -> Column:
-    return (F.octet_length(elements) / 8).cast("long")
-
-
-def near_duplicates(docs: DataFrame, rule: Rule = Rule(), block_elements: int = BLOCK_ELEMENTS) -> DataFrame:
-    """(doc_id, n_shingles, class_id, component_id) of every document."""
-    spark = docs.sparkSession
+def near_duplicates(docs: DataFrame, rule: Rule = Rule(), block_elements: int = BLOCK_ELEMENTS, block_members: int = BLOCK_MEMBERS) -> DataFrame:
+    """(doc_id, n_shingles, class_id, component_id) of every document; a stored table."""
     signs, signs_path = stored(signed(docs, rule), "signatures")
     named = signs.where("n_shingles > 0 and doc_id is not null")
-    classes, classes_path = stored(named.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies")), "copies")
-    # One row per class: rows of the same doc_id and set are the same here.
-    reps = named.join(classes.select("class_id", F.col("d1").alias("c1"), F.col("d2").alias("c2")), (F.col("doc_id") == F.col("class_id")) & (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2"))).dropDuplicates(["class_id", "d1", "d2"])
-    reps, reps_path = stored(reps.select("class_id", "n_shingles", "d1", "d2", "bands"), "classes")
-
-    banded = reps.select("class_id", "n_shingles", "d1", "d2", F.explode("bands").alias("key"))
-    summed = banded.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("class_id")).alias("who"), F.min("class_id").alias("first"), F.sum("n_shingles").alias("elements")).where("n > 1")
-    kept = summed.groupBy("n", "who", "first", "elements").agg(F.min("key").alias("key"))
-    members, members_path = stored(banded.join(kept, "key").select("key", "class_id", "d1", "d2", "first", F.ceil(F.col("elements") / block_elements).cast("int").alias("blocks")), "buckets")
-    sets, sets_path = stored(sets_of(docs, members.select("class_id", "d1", "d2").distinct(), rule), "sets")
-
-    def block(width: Column, salt: int) -> Column:
-        return F.pmod(F.xxhash64(F.lit(salt), "class_id"), width).cast("int")
-
-    whole = members.select("key", "class_id", F.explode(F.when((F.col("class_id") == F.col("first")) & (F.col("blocks") > 1), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(block(F.col("blocks"), 0)))).alias("block"))
-    within = _gathered(whole.join(sets, "class_id").select("key", "block", "class_id", "elements"), "key", "block")
-    found, found_path = stored(_linked(within, rule, 2, False), "links")
+    # Equal sets have equal bands.
+    by_set = named.groupBy("d1", "d2", "n_shingles")
+    classes, classes_path = stored(by_set.agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "classes")
+    repeats = not named.groupBy("doc_id").count().where("count > 1").isEmpty()
 
-    large = members.where("blocks > 1")
+    members, members_path = stored(bucket_members(classes, block_elements, block_members), "buckets")
+    within = _in_blocks(members, sets_of(docs, members.select("class_id").distinct(), rule, repeats))
+    found, found_path = stored(_linked(within, rule, 2, False), "links")
     roots, roots_path = components(found)
-    if large.take(1):
-        label = large.select("key", "class_id", "blocks").join(roots, F.col("class_id") == F.col("node"), "left").select("key", "class_id", "blocks", F.coalesce("root", "class_id").alias("label"))
-        main = label.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("n_main"))
-        outside = label.join(main, "key").withColumn("out_blocks", F.ceil(F.col("blocks") * (F.col("n") - F.col("n_main")) / F.col("n")).cast("int")).where("out_blocks > 0")
-        centre = outside.where("label <> main").select("key", "class_id", "label", block(F.col("out_blocks"), 1).alias("out"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("centre"))
-        other = outside.select("key", "class_id", "label", F.explode(F.sequence(F.lit(0), F.col("out_blocks") - 1)).alias("out"), block(F.col("blocks"), 0).alias("block"), F.lit(False).alias("centre"))
-        across = centre.unionByName(other).join(sets, "class_id").select("key", "out", "block", "class_id", "elements", "label", "centre")
-        more, more_path = stored(_linked(_gathered(across, "key", "out", "block"), rule, 3, True), "links")
-        drop(spark, roots_path)
+    large = members.where("blocks > 1")
+    if not large.isEmpty():
+        more, more_path = stored(_links_across(docs, large, roots, rule, repeats, block_elements, block_members), "links")
+        drop(docs.sparkSession, roots_path)
         roots, roots_path = components(found.unionAll(more))
-        drop(spark, more_path)
-    drop(spark, found_path, members_path, sets_path, reps_path)
+        drop(docs.sparkSession, more_path)
 
-    of_class = _classed(named, classes)
-    grouped = of_class.join(roots, F.col("class_id") == F.col("node"), "left").select("doc_id", "n_shingles", "class_id", F.coalesce("root", "class_id").alias("component_id"))
     alone = signs.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
-    return grouped.unionAll(alone)
+    result, _ = stored(_grouped(named, classes, roots).unionAll(alone), "near-duplicates")
+    drop(docs.sparkSession, signs_path, classes_path, members_path, found_path, roots_path)
+    return result
+
 
+def bucket_members(classes: DataFrame, block_elements: int, block_members: int) -> DataFrame:
+    """(key, class_id, d1, n_shingles, first, blocks): members of buckets with more than one class.
 
-def _classed(named: DataFrame, classes: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, class_id).  Copies of hot classes don't meet in one task: those few classes are broadcast."""
+    A bucket's key is the smallest of the bands with exactly these members; first
+    is its smallest class, blocks how many parts it needs.
+    """
+    banded = classes.select("class_id", "d1", "n_shingles", F.explode("bands").alias("key"))
+    again, again_path = stored(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "bands")
+    hits, hits_path = stored(_narrowed(banded, "key", again).join(again, "key"), "bands")
+    drop(classes.sparkSession, again_path)
+    blocks = F.greatest(F.ceil(F.sum("n_shingles") / block_elements), F.ceil(F.count("*") / block_members)).cast("int")
+    who = F.bit_xor(F.xxhash64("class_id", "d1"))
+    summed = hits.groupBy("key").agg(F.count("*").alias("n"), who.alias("who"), F.min("class_id").alias("first"), blocks.alias("blocks"))
+    kept = summed.groupBy("n", "who", "first", "blocks").agg(F.min("key").alias("key")).select("key", "first", "blocks")
+    members, _ = stored(hits.join(kept, "key").select("key", "class_id", "d1", "n_shingles", "first", "blocks"), "buckets")
+    drop(classes.sparkSession, hits_path)
+    return members
+
+
+def _block(width: Column, salt: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(salt), "class_id"), width).cast("int")
+
+
+def _in_blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(key, block, class_id, d1, elements), sorted by bucket and block; a bucket's first class is in each of its blocks."""
+    in_all = (F.col("class_id") == F.col("first")) & (F.col("blocks") > 1)
+    at = F.when(in_all, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(_block(F.col("blocks"), 0)))
+    placed = members.select("key", "class_id", "d1", F.explode(at).alias("block"))
+    if members.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS and members.where("blocks > 1").isEmpty():
+        placed = F.broadcast(placed)
+    return _gathered(sets.join(placed, ["class_id", "d1"]).select("key", "block", "class_id", "d1", "elements"), "key", "block")
+
+
+def _links_across(docs: DataFrame, large: DataFrame, roots: DataFrame, rule: Rule, repeats: bool, block_elements: int, block_members: int) -> DataFrame:
+    """Links between the components that meet in buckets of several blocks."""
+    label = large.join(roots, F.col("class_id") == F.col("node"), "left").select("key", "class_id", "d1", "n_shingles", F.coalesce("root", "class_id").alias("label"))
+    mixed = label.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+    rows, rows_path = stored(label.join(mixed, "key"), "mixed")
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.array([len(x.as_py()) // 8 for x in batch.column(5)], np.int64)
+            token = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.int64)
+            at = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(5)), pa.array(token)], names=["key", "class_id", "d1", "n_shingles", "label", "token"])
+
+    with_sets = rows.join(sets_of(docs, rows.select("class_id").distinct(), rule, repeats), ["class_id", "d1"]).select("key", "class_id", "d1", "n_shingles", "label", "elements")
+    tokens = with_sets.mapInArrow(rarest, "key long, class_id long, d1 long, n_shingles long, label long, token long")
+    rarity = tokens.groupBy("key", "token").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("key", "class_id", "d1").orderBy("n", "token"))
+    prefix = F.col("n_shingles") - F.ceil(F.col("n_shingles") * rule.numerator / rule.denominator) + 1
+    met = tokens.join(rarity, ["key", "token"]).withColumn("rank", rank).where((F.col("rank") <= prefix) & (F.col("n") > 1))
+    met, met_path = stored(met.select("key", "token", "class_id", "d1", "n_shingles", "label"), "meetings")
+
+    of = ["key", "token"]
+    counts = met.groupBy(*of, "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("elements"))
+    main = counts.groupBy(*of).agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("n_main"), F.sum("elements").alias("elements")).where("n > n_main")
+    blocks = F.greatest(F.ceil(F.col("elements") / block_elements), F.ceil(F.col("n") / block_members)).cast("int")
+    main = main.withColumn("blocks", blocks).withColumn("out_blocks", F.ceil(F.col("blocks") * (F.col("n") - F.col("n_main")) / F.col("n")).cast("int"))
+    open_ = met.join(main, of)
+    centre = open_.where("label <> main").select(*of, "class_id", "d1", "label", _block(F.col("out_blocks"), 1).alias("out"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("centre"))
+    other = open_.select(*of, "class_id", "d1", "label", F.explode(F.sequence(F.lit(0), F.col("out_blocks") - 1)).alias("out"), _block(F.col("blocks"), 0).alias("block"), F.lit(False).alias("centre"))
+    placed = centre.unionByName(other)
+    keys = [*of, "out", "block"]
+    across = sets_of(docs, open_.select("class_id").distinct(), rule, repeats).join(placed, ["class_id", "d1"]).select(*keys, "class_id", "d1", "elements", "label", "centre")
+    more, _ = stored(_linked(_gathered(across, *keys), rule, 4, True), "links")
+    drop(docs.sparkSession, rows_path, met_path)
+    return more
+
+
+def _grouped(named: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, class_id, component_id).
+
+    Copies of hot classes don't meet in one task: classes with more than a
+    partition's share of the rows, at most one for each partition, are broadcast.
+    """
     total = classes.agg(F.sum("copies").alias("n")).first()["n"] or 0
-    large = classes.where(F.col("copies") > max(1, int(total * HOT_SHARE))).select("d1", "d2", F.col("class_id").alias("hot_id"))
-    marked = named.select("doc_id", "n_shingles", "d1", "d2").join(F.broadcast(large), ["d1", "d2"], "left")  # fewer than 1 / HOT_SHARE rows
-    hot = marked.where("hot_id is not null").select("doc_id", "n_shingles", F.col("hot_id").alias("class_id"))
-    cold = marked.where("hot_id is null").join(classes.select("d1", "d2", "class_id"), ["d1", "d2"])
-    return hot.unionAll(cold.select("doc_id", "n_shingles", "class_id"))
+    rooted = classes.select("d1", "d2", "copies", "class_id").join(roots, F.col("class_id") == F.col("node"), "left").select("d1", "d2", "copies", "class_id", F.coalesce("root", "class_id").alias("component_id"))
+    share = max(1, total // _parts(named))
+    large = classes.where(F.col("copies") > share).select(F.col("d1").alias("h1"), F.col("d2").alias("h2"), F.lit(True).alias("hot"))
+    rows = named.select("doc_id", "n_shingles", "d1", "d2")
+    marked = rows.join(F.broadcast(large), (F.col("d1") == F.col("h1")) & (F.col("d2") == F.col("h2")), "left")
+    few = F.broadcast(rooted.where(F.col("copies") > share).select("d1", "d2", "class_id", "component_id"))
+    hot = marked.where("hot").select("doc_id", "n_shingles", "d1", "d2").join(few, ["d1", "d2"])
+    cold = marked.where("hot is null").select("doc_id", "n_shingles", "d1", "d2").join(rooted.drop("copies"), ["d1", "d2"])
+    out = ["doc_id", "n_shingles", "class_id", "component_id"]
+    return hot.select(*out).unionAll(cold.select(*out))
 
 
 def keep_one(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """One document of each group, the one with the smallest doc_id, with all its columns.
 
-    Rows without a doc_id stay.  Rows that repeat a doc_id count as copies; one stays.
+    Rows without a doc_id stay.  Rows that repeat a doc_id count as copies; the one
+    with the smallest hash of its text stays.  Documents that are neither dropped nor
+    repeated, which most are, stay where they are; only the others are shuffled.
     """
     found = near_duplicates(docs, rule)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    one = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    return one.unionAll(docs.where("doc_id is null"))
+    judged = found.where("doc_id is not null").groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count("*").alias("n"))
+    special, _ = stored(judged.where("not stays or n > 1").select(F.col("doc_id").alias("id"), "stays"), "dropped")
+    # All columns travel in one, so that no name clashes.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("tie"))
+    plain, rows = rows.where("id is null").select("row"), rows.where("id is not null")
+    slots = _slots(special, "id")
+    if slots is not None:
+        marked = rows.join(F.broadcast(slots), F.pmod(F.xxhash64("id"), F.lit(SLOTS)) == F.col("slot"), "left")
+        plain = plain.unionAll(marked.where("slot is null").select("row"))
+        rows = marked.where("slot is not null").select("row", "id", "tie")
+    plain = plain.unionAll(rows.join(special, "id", "left_anti").select("row"))
+    maybe = rows.join(special.where("stays"), "id", "left_semi")
+    one = maybe.groupBy("id").agg(F.min_by("row", "tie").alias("row"))
+    return plain.select("row.*").unionAll(one.select("row.*"))
