@@ -5,13 +5,16 @@ by a separator, lower case) in order of rank.  A document's distance to a
 language is the sum over its own profile of how far each n-gram is out of place
 in the language's, at most PROFILE for one that is absent.
 
-Learning uses a hash-chosen sample of about SAMPLE_ROWS labelled rows of each
-language, a documented bound; prediction reads every whole text.
+Learning uses a hash-chosen sample of about SAMPLE_ROWS labelled rows of each of
+the MAX_LANGUAGES most frequent languages, documented bounds; prediction reads
+every whole text, however long.  Profiles are ranked in Spark; the driver gets at
+most PROFILE rows a language.
 
 Edge cases: null texts and texts without a letter give ``und`` and score 0, as
 does an empty training table.  Ties between n-grams go to the smaller code,
 between languages to the alphabetically first.  Repeated rows are predicted one
-by one.  Null or empty languages are not learned.  Only named columns are read.
+by one.  A null doc_id is carried and not held out.  Null or empty languages are
+not learned.  Only named columns are read, whatever else there is.
 """
 
 from __future__ import annotations
@@ -22,10 +25,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 PROFILE = 400
-SAMPLE_ROWS = 3_000
+SAMPLE_ROWS, MAX_LANGUAGES = 3_000, 1_000
 UNDETERMINED = "und"
 _SEPARATOR = 1
 _letters: np.ndarray | None = None
@@ -103,12 +106,8 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Profiles:
     """Profiles from labelled rows that are not held out; the driver gets those of the sample only."""
     rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.col("lang") != "")).select("doc_id", "text", "lang")
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not counts:
-        return profiles_of({})
-    share = F.lit(0.0)
-    for lang, n in sorted(counts.items()):
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, sample_rows / n))).otherwise(share)
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+    shares = counts.select(F.col("lang").alias("learned"), (F.lit(float(sample_rows)) / F.col("n")).alias("share"))
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,12 +121,13 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Profiles:
         for lang, mine in found.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(mine), pa.string()), pa.array(list(mine), pa.int64()), pa.array(list(mine.values()), pa.int64())], names=["lang", "code", "n"])
 
-    got = rows.where(part < share).select("text", "lang").mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
-    ranked = {}
-    for lang, part_of in got.groupby("lang"):
-        ordered = part_of.sort_values(["n", "code"], ascending=[False, True])
-        ranked[lang] = ordered["code"].to_numpy(np.uint64)[:PROFILE]
-    return profiles_of(ranked)
+    # At most MAX_LANGUAGES rows.
+    sample = rows.join(F.broadcast(shares), F.col("lang") == F.col("learned")).where(part < F.col("share"))
+    totals = sample.select("text", "lang").mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    # Each task keeps the first PROFILE of a language before they meet.
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
+    got = totals.withColumn("rank", rank).where(F.col("rank") <= PROFILE).toPandas()
+    return profiles_of({lang: of.sort_values("rank")["code"].to_numpy(np.uint64) for lang, of in got.groupby("lang")})
 
 
 def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:

@@ -7,19 +7,21 @@ and goes everywhere else.
 
 Keys are carried as 128 hash bits.  They are range-partitioned, and sorted
 within by document (largest first) and position, so the first rank of a key is
-the document that keeps it.  A key that holds a large share of all rows would
-stand in one range; such keys (found by a frequent-items sketch, at most
-HOT_KEYS of them) take another exact way: aggregated with partial sums, and
-joined back by a broadcast of at most HOT_KEYS rows.  A key's result does not
-depend on the way it takes.
+the document that keeps it.  A key that holds more rows than a partition's share
+would fill its range alone; such keys (there is at most one for each partition,
+and a frequent-items sketch finds them) take another exact way: aggregated with
+partial sums, and joined back by a broadcast of one row each.  A key's result
+does not depend on the way it takes.
 
 The result is a run-length coded bitmap of kept lines per document; ``apply``
 makes texts of it.
 
 Edge cases: a null or empty text is one empty line, which is too short to be a
 key.  Rows with a null doc_id drop nothing and count for nothing.  Rows with the
-same doc_id count as one document; each is filtered by its own text.  Other
-columns are not touched.
+same doc_id count as one document; each is filtered by its own text, so that
+repeated rows lose the same lines and ties don't arise.  Texts of any length are
+read whole.  An empty table gives an empty result.  Other columns are carried in
+a struct, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,10 +31,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from kilnwork.llm.shared import stored
 
 MIN_CHARS, MIN_DOCS = 20, 3
-#: A key with more than this share of all rows counts as hot.
-HOT_SHARE = 1 / 1000
-HOT_KEYS = 1000
-_TRACKED = 20_000
+#: A key with more rows than this many partitions' share of all counts as hot.
+HOT_PARTITIONS = 1.0
+#: Tracked items of the sketch for each partition, so that it finds every hot key; and the sketch's limits.
+_TRACKED, _LEAST, _MOST = 16, 20_000, 1_000_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BLANKS = " \t\n\x0b\x0c\r"
 
@@ -53,16 +55,22 @@ def keyed_lines(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 def hot_keys(keys: DataFrame) -> list[int]:
-    """First hash halves that may hold more than HOT_SHARE of all rows."""
-    row = keys.agg(F.count("*").alias("n"), F.expr(f"approx_top_k(h1, {HOT_KEYS}, {_TRACKED})").alias("top")).first()
-    return [x["item"] for x in row["top"] or [] if x["count"] > HOT_SHARE * row["n"]]
+    """First hash halves that may hold more than a partition's share of all rows; at most one for each partition or so."""
+    parts = _parts(keys)
+    tracked = min(_MOST, max(_LEAST, _TRACKED * parts))
+    row = keys.agg(F.count("*").alias("n"), F.expr(f"approx_top_k(h1, {min(2 * parts, tracked)}, {tracked})").alias("top")).first()
+    return [x["item"] for x in row["top"] or [] if x["count"] > HOT_PARTITIONS * row["n"] / parts]
+
+
+def _parts(df: DataFrame) -> int:
+    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def dropped_lines(keys: DataFrame, min_docs: int) -> DataFrame:
     """(doc_id, copy, pos) of every line that goes."""
     hot = hot_keys(keys)
     is_hot = F.col("h1").isin(hot) if hot else F.lit(False)
-    parts = max(2, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = _parts(keys)
     by_key = Window.partitionBy("h1", "h2")
     ranked = keys.where(~is_hot).repartitionByRange(parts, "h1", "h2").withColumn("rank", F.dense_rank().over(by_key.orderBy(F.desc("doc_id"))))
     cold = ranked.withColumn("n_docs", F.max("rank").over(by_key)).where((F.col("rank") > 1) & (F.col("n_docs") >= min_docs)).select("doc_id", "copy", "pos")
@@ -70,7 +78,7 @@ def dropped_lines(keys: DataFrame, min_docs: int) -> DataFrame:
         return cold
     rows = keys.where(is_hot)
     stats = rows.select("h1", "h2", "doc_id").distinct().groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper")).where(F.col("n_docs") >= min_docs)
-    # At most HOT_KEYS first halves; whole keys sharing one are as good as none.
+    # About one row for each partition; whole keys that share a first half are as good as none.
     warm = rows.join(F.broadcast(stats), ["h1", "h2"]).where(F.col("doc_id") != F.col("keeper")).select("doc_id", "copy", "pos")
     return cold.unionAll(warm)
 

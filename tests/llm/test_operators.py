@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import random
+import time
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kilnwork.llm import decontaminate, langid, licenses, linededup, neardup, packing, quality, queries, substrings, tokenfiles, tokens, urlfilter
+from kilnwork.llm import decontaminate, langid, licenses, linededup, neardup, packing, quality, queries, substrings, textblocks, tokenfiles, tokens, urlfilter
 from kilnwork.llm.shared import new_path
 from tests.llm import brute, cases
 
@@ -37,7 +38,18 @@ def test_cache_is_bounded(monkeypatch):
     coder = tokens.Encoder(BYTE)
     texts = [" ".join(f"word{k}" for k in range(j, j + 40)) for j in range(10)]
     assert coder.encode(texts) == [x[:-1].tobytes() for x in whole_ids(BYTE, texts, 0)]
-    assert len(coder._new) <= 5
+    assert coder.encode(["word1"]) == [x[:-1].tobytes() for x in whole_ids(BYTE, ["word1"], 0)]
+    assert coder._entries == 3 and len(coder._known) == 2  # "word" and "1"; emptied before the second column's first block
+
+
+def test_parts_of_blocks_and_long_parts(monkeypatch):
+    rng = random.Random(5)
+    words = ["plain", "x" * 24, "y" * 25, "z" * 3000, "don't", "naïve", "日本", "12", "!!", "\u00a0", "<|endoftext|>"]
+    texts = [" ".join(rng.choice(words[:-1]) for _ in range(rng.randrange(60))) for _ in range(200)] + ["a <|endoftext|> b", "", None, "  ", "<|ENDOFTEXT|>"]
+    for path in (WORD, BYTE):
+        want = [x[:-1].tobytes() for x in whole_ids(path, texts, 0)]
+        monkeypatch.setattr(tokens, "blocks", lambda column: textblocks.blocks(column, 500))
+        assert tokens.Encoder(path).encode(texts) == want
 
 
 # 1
@@ -119,8 +131,9 @@ def test_packing_in_small_groups(spark, monkeypatch):
 # 3
 
 
-@pytest.mark.parametrize("block", [neardup.BLOCK_ELEMENTS, 150])
-def test_near_duplicates(spark, block):
+@pytest.mark.parametrize(("block", "most", "slots"), [(neardup.BLOCK_ELEMENTS, neardup.BLOCK_MEMBERS, neardup.SLOTS), (150, 20_000, 7), (10_000, 3, 0)])
+def test_near_duplicates(spark, monkeypatch, block, most, slots):
+    monkeypatch.setattr(neardup, "SLOTS", slots)
     rng = random.Random(11)
     vocabulary = [f"v{k}" for k in range(400)]
     docs = []
@@ -137,11 +150,94 @@ def test_near_duplicates(spark, block):
     rule = neardup.Rule(3, 85, 100)
     sets = {i: brute.shingles(t, 3) for i, t in enumerate(docs)}
     want = brute.components(sets, 85, 100)
-    got = {r.doc_id: r for r in neardup.near_duplicates(df, rule, block).collect()}
+    got = {r.doc_id: r for r in neardup.near_duplicates(df, rule, block, most).collect()}
     assert {i: r.component_id for i, r in got.items()} == want
     assert all(got[i].n_shingles == len(s) for i, s in sets.items())
 
 
+def test_links_of_members_that_do_not_link():
+    rng = np.random.default_rng(3)
+    rule = neardup.Rule(3, 85, 100)
+    shared = rng.integers(0, 1 << 63, 3, dtype=np.uint64)
+    apart = [np.sort(np.append(shared, rng.integers(0, 1 << 63, dtype=np.uint64))) for _ in range(50_000)]
+    began = time.process_time()
+    assert neardup.links(list(range(50_000)), apart, rule) == []
+    family = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+    near = [np.sort(np.concatenate([family[:199], rng.integers(0, 1 << 63, 1, dtype=np.uint64)])) for _ in range(3000)]
+    assert len(neardup.links(list(range(3000)), near, rule)) == 2999
+    assert time.process_time() - began < 20
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_links_against_brute_force(seed):
+    rng = random.Random(seed)
+    rule = neardup.Rule(3, 85, 100)
+    sets, ids = [], rng.sample(range(1000), 60)
+    for _ in range(6):
+        base = rng.sample(range(300), rng.choice([5, 20, 60]))
+        for _ in range(10):
+            copy = set(base)
+            for _ in range(rng.randrange(4)):
+                copy ^= {rng.randrange(300)}
+            sets.append(np.array(sorted(copy or {1}), np.uint64))
+
+    def groups(pairs):
+        parent = {i: i for i in ids}
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in pairs:
+            parent[find(max(a, b))] = find(min(a, b))
+        return {frozenset(i for i in ids if find(i) == r) for r in map(find, ids)}
+
+    similar = [(a, b) for a in range(60) for b in range(a) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 85 * len(np.union1d(sets[a], sets[b]))]
+    assert groups(neardup.links(ids, sets, rule)) == groups([(ids[a], ids[b]) for a, b in similar])
+    centres = rng.sample(range(60), 20)
+    got = neardup.links(ids, sets, rule, np.arange(60), np.array(centres))
+    assert groups(got) == groups([(ids[a], ids[b]) for a, b in similar if a in centres or b in centres])
+
+
+def test_recall_at_the_threshold():
+    """Pairs at a similarity of 0.85 or just above share a band; the bound on misses is measured."""
+    rng = np.random.default_rng(9)
+    rule = neardup.Rule(3, 85, 100)
+    missed, pairs = 0, 4000
+    for _ in range(pairs // 200):
+        sets = []
+        for _ in range(200):
+            size = int(rng.integers(40, 300))
+            apart = int(0.15 * size / 1.85 * 2) // 2 * 2  # elements of one side only, at a similarity of 0.85 or more
+            every = rng.integers(0, 1 << 63, size + apart // 2, dtype=np.uint64)
+            sets += [np.sort(every[: len(every) - apart // 2]), np.sort(every[apart // 2 :])]
+        keys = neardup.band_keys(neardup.signatures(sets, rule.bands * neardup.ROWS_PER_BAND), rule.bands)
+        missed += int((~(keys[0::2] == keys[1::2]).any(axis=1)).sum())
+    assert missed <= 1  # of 4,000; the bound expects 0.04
+
+
+def test_hubs_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HUB_ROWS", 1)
+    edges = spark.range(1, 400).select(F.col("id").alias("a"), F.when(F.col("id") % 50 == 1, F.col("id") - 1).otherwise(F.lit(0)).alias("b")).where("a <> b")
+    roots, _ = neardup.components(edges)
+    assert {(r.node, r.root) for r in roots.collect()} == {(k, 0) for k in range(1, 400)}
+
+
+@pytest.mark.parametrize("slots", [1 << 20, 0])
+def test_keep_one_with_clashing_names(spark, monkeypatch, slots):
+    monkeypatch.setattr(neardup, "SLOTS", slots)
+    text = " ".join(f"w{k}" for k in range(30))
+    rows = [(1, text, 5), (2, text, 6), (2, "something else", 7), (3, "other words here", 8), (3, "other words here", 8), (None, text, 9), (None, None, 9), (4, None, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept_id int")
+    for c in ("slot", "id", "row", "tie", "stays", "class_id"):
+        df = df.withColumn(c, F.col("kept_id"))
+    kept = neardup.keep_one(df)
+    assert kept.columns == df.columns
+    got = sorted((r.doc_id or 0, r.kept_id) for r in kept.collect())
+    assert got[:3] + got[4:] == [(0, 9), (0, 9), (1, 5), (3, 8), (4, 1)] and got[3] in [(2, 6), (2, 7)]  # one row of a repeated doc_id
+
+
 def test_near_duplicates_edges(spark):
     found = neardup.near_duplicates(cases.documents(spark), neardup.Rule(3, 85, 100)).collect()
     assert len(found) == len(cases.rows())
@@ -289,6 +385,50 @@ def test_substring_dedup(spark, shard_bytes):
     assert sum(w[1] for w in want) > 100
 
 
+def passages_and_copies(seed):
+    """Texts that share passages, whole and in part, over many documents, with ties and null ids."""
+    rng = random.Random(seed)
+    pool = [[f"w{rng.randrange(60)}" for _ in range(rng.randrange(18, 70))] for _ in range(12)]
+    texts = []
+    for _ in range(120):
+        words = []
+        for _ in range(rng.randrange(5)):
+            part = rng.choice(pool)
+            a = rng.randrange(len(part)) if rng.random() < 0.3 else 0
+            words += [f"u{rng.randrange(9)}" for _ in range(rng.randrange(12))] + part[a:]
+        texts.append(" ".join(words))
+    return texts + texts[:10] + ["p q r " * 40, "p q r " * 30]
+
+
+@pytest.mark.parametrize("shard_bytes", [substrings.SHARD_BYTES, 4000, 300])
+def test_passages_across_shards(spark, shard_bytes):
+    texts = passages_and_copies(shard_bytes)
+    want = {i: w for i, w in enumerate(brute.removed(texts))}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substrings.remove_repeats(df, shard_bytes=shard_bytes).collect()}
+    assert got == want and sum(w[1] for w in want.values()) > 2000
+
+
+@pytest.mark.parametrize("shard_bytes", [substrings.SHARD_BYTES, 1000])
+def test_passages_of_null_and_equal_ids(spark, shard_bytes):
+    """Without ids of their own, all copies of a passage but one lose it."""
+    passage = [" ".join(f"{t}{k}" for k in range(30)) for t in "ab"]
+    rows = [(None if k % 2 else 7, f"{passage[k % 4 // 2]} tail{k}") for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substrings.remove_repeats(df, shard_bytes=shard_bytes).collect()
+    assert len(got) == 40 and sorted(r.n_removed for r in got) == [0, 0] + [30] * 38
+    assert all(r.doc_id is None for r in got if not r.n_removed)  # nulls come first
+
+
+@pytest.mark.parametrize("bits", [0, 4])
+def test_collisions_remove_nothing_else(spark, bits):
+    texts = passages_and_copies(5)
+    most = brute.removed(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in substrings.remove_repeats(df, shard_bytes=2000, hash_bits=bits).collect():
+        assert r.n_removed <= most[r.doc_id][1]
+
+
 def test_substring_dedup_edges(spark):
     assert substrings.remove_repeats(cases.empty(spark)).count() == 0
     got = substrings.remove_repeats(cases.documents(spark)).collect()
@@ -300,9 +440,9 @@ def test_substring_dedup_edges(spark):
 # 9
 
 
-@pytest.mark.parametrize("share", [linededup.HOT_SHARE, 0.0])
+@pytest.mark.parametrize("share", [linededup.HOT_PARTITIONS, 0.0])
 def test_line_dedup(spark, monkeypatch, share):
-    monkeypatch.setattr(linededup, "HOT_SHARE", share)  # with 0, every key takes the way of hot keys
+    monkeypatch.setattr(linededup, "HOT_PARTITIONS", share)  # with 0, every key takes the way of hot keys
     df = cases.unique(spark)
     want = brute.line_dedup({r.doc_id: r.text for r in df.collect()})
     done = linededup.apply(df, linededup.bitmaps(df)[0])
