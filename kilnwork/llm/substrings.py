@@ -30,7 +30,7 @@ Bulk arrays cross shuffles as binary columns.
 Edge cases: null and empty texts have no words; a document shorter than a window
 loses nothing; periodic texts lose all but the first places of their windows.
 A null doc_id sorts first; rows with the same doc_id follow one another in the
-order of their texts' hash, and equal rows in any order.  Texts of any length are
+order of their shards and texts' hashes, and equal rows in any order.  Texts of any length are
 read whole.  An empty table gives an empty result.  Only doc_id and text are read,
 whatever else there is.
 """
@@ -203,7 +203,19 @@ def _ordered(table: pa.Table) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([column("doc_id"), column("text"), pa.array(key[order]), column("tie")], names=["doc_id", "text", "key", "tie"])
 
 
-_CANDIDATES = "bucket int, shard int, h1 binary, h2 binary, row binary, start binary, twice binary, rows binary, keys binary, ties binary"
+def _packed(values: np.ndarray, *, rising: bool = False) -> bytes:
+    """Numbers as planes of their bytes, which compress well; those that rise as differences."""
+    values = np.diff(values, prepend=values[:1] * 0) if rising else values
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+
+
+def _unpacked(raw: bytes, kind: type, *, rising: bool = False) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    values = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(kind).reshape(-1)
+    return np.cumsum(values, dtype=kind) if rising else values
+
+
+_CANDIDATES = "bucket int, shard int, h1 binary, h2 binary, row binary, start binary, twice binary, rows binary, keys binary"
 
 
 def _candidates(packed_of, bucket_bits: int, window: int, anchor: int, hash_bits: int):
@@ -212,7 +224,7 @@ def _candidates(packed_of, bucket_bits: int, window: int, anchor: int, hash_bits
 
     def work(table: pa.Table) -> pa.Table:
         shard, batch = table["shard"][0].as_py(), _ordered(table)
-        keys, ties = (np.asarray(batch.column(k).to_numpy(), np.int64) for k in (2, 3))
+        keys = np.asarray(batch.column(2).to_numpy(), np.int64)
         found: list[tuple[np.ndarray, ...]] = [(np.empty(0, np.uint64), np.empty(0, np.uint32), np.empty(0, np.int32), np.empty(0, np.int32))]
         for a, _, words in each_block(batch, "text", lower=False):
             windows = Windows(words, window, anchor)
@@ -233,12 +245,12 @@ def _candidates(packed_of, bucket_bits: int, window: int, anchor: int, hash_bits
         edge = _split(h1, bucket_bits)
         out = []
         for k in np.flatnonzero(np.diff(edge)).tolist():
-            part = slice(edge[k], edge[k + 1])
+            part = edge[k] + np.lexsort((start[edge[k] : edge[k + 1]], row[edge[k] : edge[k + 1]]))
             docs = distinct(row[part])
-            arrays = (h1[part], h2[part], row[part], start[part], np.packbits(twice[part]), docs, keys[docs], ties[docs])
-            out.append((k, shard, *(x.tobytes() for x in arrays)))
+            places = (_packed(row[part], rising=True), _packed(start[part]), np.packbits(twice[part]).tobytes())
+            out.append((k, shard, h1[part].tobytes(), h2[part].tobytes(), *places, _packed(docs, rising=True), _packed(keys[docs], rising=True)))
         names = [x.split()[0] for x in _CANDIDATES.split(", ")]
-        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 8]
+        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 7]
         return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=names)
 
     return work
@@ -249,19 +261,20 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, rows in _grouped(batches):
         h1 = np.concatenate([np.frombuffer(r[1], np.uint64) for r in rows])
         h2 = np.concatenate([np.frombuffer(r[2], np.uint32) for r in rows])
-        row, start = (np.concatenate([np.frombuffer(r[k], np.int32) for r in rows]) for k in (3, 4))
+        place = [_unpacked(r[3], np.int32, rising=True) for r in rows]
+        row, start = np.concatenate(place), np.concatenate([_unpacked(r[4], np.int32) for r in rows])
         sizes = [len(r[1]) // 8 for r in rows]
         source = np.repeat(np.arange(len(rows)), sizes)
         twice = np.concatenate([np.unpackbits(np.frombuffer(r[5], np.uint8), count=n) for r, n in zip(rows, sizes, strict=True)]).astype(bool)
-        place = np.split(row, np.cumsum(sizes)[:-1])
-        at = [np.searchsorted(np.frombuffer(r[6], np.int32), p) for r, p in zip(rows, place, strict=True)]
-        key, tie = (np.concatenate([np.frombuffer(r[k], np.int64)[i] for r, i in zip(rows, at, strict=True)]) for k in (7, 8))
-        order = np.lexsort((tie, key, h2, h1))
+        at = [np.searchsorted(_unpacked(r[6], np.int32, rising=True), p) for r, p in zip(rows, place, strict=True)]
+        key = np.concatenate([_unpacked(r[7], np.int64, rising=True)[i] for r, i in zip(rows, at, strict=True)])
+        shards = np.array([r[0] for r in rows], np.int32)
+        order = np.lexsort((shards[source], key, h2, h1))
         head = np.ones(len(order), bool)
         head[1:] = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
         owner = order[np.flatnonzero(head)][np.cumsum(head) - 1]  # of each window in order: the entry with the first place
         again = (owner != order) | twice[order]
-        owner, target = owner[again], np.array([r[0] for r in rows], np.int32)[source[order[again]]]
+        owner, target = owner[again], shards[source[order[again]]]
         by = np.argsort(source[owner], kind="stable")
         owner, target = owner[by], target[by]
         edge = np.searchsorted(source[owner], np.arange(len(rows) + 1))
