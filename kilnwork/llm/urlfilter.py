@@ -1,11 +1,12 @@
 """URL rules in a memory-mapped sorted array of 64-bit digests.
 
 An index holds the xxhash of every rule string in ascending order, the strings
-themselves in the same order, and each rule's verdict.  It is written to two
-files, shipped to each executor once (SparkContext.addFile) and mapped there.
-All candidate strings of a batch of urls are probed with one binary search; a
-digest that is found is confirmed by comparing the stored string, so a
-collision can't give a wrong verdict.
+themselves in the same order, each rule's verdict, and the lengths of the rules'
+paths.  It is written to files, shipped to each executor once
+(SparkContext.addFile) and mapped there.  All candidate strings of a batch of urls
+are probed with one binary search; a digest that is found is confirmed by
+comparing the stored string, so a collision can't give a wrong verdict.  Hosts and
+paths are cut out by Spark.
 
 A rule is a host followed by a path prefix.  Candidates of a url are all
 suffixes of its host at dots, each with the prefixes of its path that are as
@@ -18,6 +19,9 @@ equi-join on the candidates.
 Edge cases: a null url or one without ``://`` has an empty host and path, fits no
 rule and gets the default verdict, as does any url without a fitting rule.
 Repeated urls are judged row by row; duplicates of a rule keep the last verdict.
+A null page_id is carried; urls of any length are read whole; an empty table or
+rule set gives no rows or no fitting rule.  Only page_id and url are read,
+whatever else there is.
 """
 
 from __future__ import annotations
@@ -30,27 +34,21 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kilnwork.llm.shared import new_path, put_bytes
 
-MAX_INDEX_BYTES = 1 << 30
+MAX_INDEX_BYTES = 1 << 28
 DEFAULT_VERDICT = "allow"
 #: The contract's rules: (verdict, host and path).
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def split_url(url: str | None) -> tuple[str, str]:
-    """Host in lower case (A-Z), and path."""
-    at = (url or "").find("://")
-    if at < 0:
-        return "", ""
-    rest = url[at + 3 :]
-    stop = min((k for k in (rest.find("/"), rest.find("?"), rest.find("#")) if k >= 0), default=len(rest))
-    path = rest[stop:]
-    end = min((k for k in (path.find("?"), path.find("#")) if k >= 0), default=len(path))
-    return rest[:stop].translate(_LOWER), path[:end]
+def host_and_path(url: Column) -> tuple[Column, Column]:
+    """Host in lower case (A-Z), and path; empty for a null url or one without ://."""
+    part = lambda pattern: F.coalesce(F.regexp_extract(url, f"(?s)^.*?://{pattern}", 1), F.lit(""))
+    return F.translate(part("([^/?#]*)"), _UPPER, _LOWER), part("[^/?#]*([^?#]*)")
 
 
 def candidates(host: str, path: str, lengths: Iterable[int]) -> list[str]:
@@ -71,6 +69,8 @@ class DigestIndex:
     def __init__(self, prefix: str):
         self._digests = np.load(f"{prefix}.digests.npy", mmap_mode="r")
         self._meta = np.load(f"{prefix}.strings.npy", mmap_mode="r")
+        #: Lengths of the rules' paths, rising.
+        self.lengths = np.load(f"{prefix}.lengths.npy").tolist()
         n = len(self._digests)
         self._starts = self._meta[: 8 * (n + 1)].view(np.int64)
         self._blocked = self._meta[8 * (n + 1) : 8 * (n + 1) + n]
@@ -78,7 +78,7 @@ class DigestIndex:
 
     @staticmethod
     def build(rules: dict[str, bool]) -> dict[str, bytes]:
-        """The contents of the two files; rules: string to whether it blocks."""
+        """The contents of the files; rules: string to whether it blocks."""
         if sum(len(x.encode()) + 17 for x in rules) > MAX_INDEX_BYTES:
             raise ValueError("too many rules for a mapped index; use judge_by_join")
         order = sorted((xxhash.xxh64_intdigest(x.encode()), x) for x in rules)
@@ -87,19 +87,12 @@ class DigestIndex:
         blocked = np.array([rules[x] for _, x in order], np.uint8)
         strings = np.concatenate([starts.view(np.uint8), blocked, np.frombuffer(b"".join(raw), np.uint8)])
         out = {}
-        for part, array in (("digests", np.array([d for d, _ in order], np.uint64)), ("strings", strings)):
+        lengths = np.array(sorted({len(x) - len(x.partition("/")[0]) for x in rules}), np.int64)
+        for part, array in (("digests", np.array([d for d, _ in order], np.uint64)), ("strings", strings), ("lengths", lengths)):
             np.save(file := io.BytesIO(), array)
             out[part] = file.getvalue()
         return out
 
-    def lengths(self) -> list[int]:
-        """Lengths of the rules' paths."""
-        found = set()
-        for k in range(len(self._digests)):
-            text = self._bytes[self._starts[k] : self._starts[k + 1]].tobytes().decode()
-            found.add(len(text) - len(text.partition("/")[0]))
-        return sorted(found)
-
     def probe(self, strings: list[str]) -> np.ndarray:
         """Position of each string, or -1."""
         raw = [x.encode("utf-8", "surrogatepass") for x in strings]
@@ -148,10 +141,8 @@ def judge(pages: DataFrame, rules: dict[str, bool]) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _mapped(name)
-        lengths = index.lengths()
         for batch in batches:
-            parts = [split_url(x) for x in batch.column(1).to_pylist()]
-            tries = [candidates(h, p, lengths) for h, p in parts]
+            tries = [candidates(h, p, index.lengths) for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             found = index.probe([x for y in tries for x in y])
             rule, verdict, at = [], [], 0
             for y in tries:
@@ -159,9 +150,11 @@ def judge(pages: DataFrame, rules: dict[str, bool]) -> DataFrame:
                 rule.append(None if hit is None else y[hit - at])
                 verdict.append(DEFAULT_VERDICT if hit is None else "block" if index.blocks(found[hit]) else "allow")
                 at += len(y)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h for h, _ in parts], pa.string()), pa.array([p for _, p in parts], pa.string()), pa.array(rule, pa.string()), pa.array(verdict, pa.string())], names=["page_id", "host", "path", "rule", "verdict"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rule, pa.string()), pa.array(verdict, pa.string())], names=["page_id", "host", "path", "rule", "verdict"])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")).mapInArrow(work, "page_id long, host string, path string, rule string, verdict string")
+    host, path = host_and_path(F.col("url").cast("string"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
+    return rows.mapInArrow(work, "page_id long, host string, path string, rule string, verdict string")
 
 
 def judge_by_join(pages: DataFrame, rules: DataFrame, lengths: list[int]) -> DataFrame:
@@ -169,11 +162,12 @@ def judge_by_join(pages: DataFrame, rules: DataFrame, lengths: list[int]) -> Dat
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [split_url(x) for x in batch.column(2).to_pylist()]
-            tries = [candidates(h, p, lengths) for h, p in parts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([h for h, _ in parts], pa.string()), pa.array([p for _, p in parts], pa.string()), pa.array(tries, pa.list_(pa.string()))], names=["row", "page_id", "host", "path", "tries"])
+            tries = [candidates(h, p, lengths) for h, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tries, pa.list_(pa.string()))], names=["row", "page_id", "host", "path", "tries"])
 
-    rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), "url").mapInArrow(work, "row long, page_id long, host string, path string, tries array<string>")
+    host, path = host_and_path(F.col("url").cast("string"))
+    rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
+    rows = rows.mapInArrow(work, "row long, page_id long, host string, path string, tries array<string>")
     tried = rows.select("row", "page_id", "host", "path", F.posexplode_outer("tries").alias("order", "rule"))
     hit = tried.join(rules.select("rule", "blocks"), "rule", "left")
     best = hit.groupBy("row", "page_id", "host", "path").agg(F.min(F.when(F.col("blocks").isNotNull(), F.struct("order", "rule", "blocks"))).alias("best"))
