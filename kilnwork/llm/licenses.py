@@ -2,9 +2,13 @@
 
 A text is brought to its words (letters, digits and everything beyond ASCII; A-Z
 in lower case) with single blanks between, and one automaton finds all phrases
-at word boundaries, overlapping ones included.  Where the automaton meets an
-identifier tag, the rest of that line in the original text is read as a licence
-expression: operators and, or, with, parentheses and identifiers.
+and identifier tags at word boundaries, overlapping ones included.  Where it meets
+a tag, even one whose words stand on several lines, the rest of the original line
+after the tag's last word is read as a licence expression: operators or, and and
+with (rising in strength), parentheses and identifiers, by shunting-yard.  An
+expression is valid if its operands are known licences, in lower case and with or
+without a final ``+``, or own ones (LicenseRef-), and each ``with`` joins one
+licence to one known exception.
 
 Results per document: places of base phrases with the first and last start, base
 labels, all labels (base, the further phrases' and identifiers of valid
@@ -14,7 +18,9 @@ alone, 0.3 for a tag without a valid expression, else 0.
 
 Edge cases: null and empty texts have no words and no labels; a tag with an
 invalid expression adds no label; equal phrases and repeated rows count each
-time.  Whole texts are read, whatever their length; other columns are not.
+time, and labels are sorted, so ties don't matter.  A null doc_id is carried.  An
+empty table gives no rows.  Whole texts are read, whatever their length; only
+doc_id and text are, whatever else there is.
 """
 
 from __future__ import annotations
@@ -40,15 +46,33 @@ FURTHER = {
     "eclipse public license": "epl",
     "isc license": "isc",
     "the unlicense": "unlicense",
-    "all rights reserved": "all-rights-reserved",
 }
+#: Identifiers of licences that an expression may name, in lower case (fixed values).
+LICENCES = frozenset("""
+    0bsd afl-3.0 agpl-1.0-only agpl-1.0-or-later agpl-3.0 agpl-3.0-only agpl-3.0-or-later apache-1.0 apache-1.1 apache-2.0 apsl-2.0
+    artistic-1.0 artistic-2.0 blueoak-1.0.0 bsd-1-clause bsd-2-clause bsd-2-clause-patent bsd-3-clause bsd-3-clause-clear bsd-4-clause
+    bsl-1.0 bzip2-1.0.6 cc-by-3.0 cc-by-4.0 cc-by-nc-4.0 cc-by-nc-nd-4.0 cc-by-nc-sa-4.0 cc-by-nd-4.0 cc-by-sa-3.0 cc-by-sa-4.0 cc0-1.0
+    cddl-1.0 cddl-1.1 cecill-2.1 cpl-1.0 curl ecl-2.0 epl-1.0 epl-2.0 eupl-1.1 eupl-1.2 ftl gfdl-1.2-only gfdl-1.2-or-later gfdl-1.3-only
+    gfdl-1.3-or-later gpl-1.0-only gpl-1.0-or-later gpl-2.0 gpl-2.0-only gpl-2.0-or-later gpl-3.0 gpl-3.0-only gpl-3.0-or-later hpnd icu
+    ijg ipl-1.0 isc json lgpl-2.0-only lgpl-2.0-or-later lgpl-2.1 lgpl-2.1-only lgpl-2.1-or-later lgpl-3.0 lgpl-3.0-only
+    lgpl-3.0-or-later libpng libtiff mit mit-0 mpl-1.0 mpl-1.1 mpl-2.0 ms-pl ms-rl ncsa odbl-1.0 ofl-1.0 ofl-1.1 openssl osl-3.0 php-3.0
+    php-3.01 postgresql psf-2.0 python-2.0 qpl-1.0 ruby sleepycat sspl-1.0 tcl unicode-3.0 unicode-dfs-2016 unlicense upl-1.0 vim w3c wtfpl
+    x11 zlib zpl-2.1
+""".split())
+#: Identifiers of exceptions, in lower case (fixed values).
+EXCEPTIONS = frozenset("""
+    autoconf-exception-2.0 autoconf-exception-3.0 bison-exception-2.2 bootloader-exception classpath-exception-2.0 font-exception-2.0
+    gcc-exception-2.0 gcc-exception-3.1 libtool-exception linux-syscall-note llvm-exception mif-exception ocaml-lgpl-linking-exception
+    openvpn-openssl-exception qt-gpl-exception-1.0 qt-lgpl-exception-1.1 u-boot-exception-2.0 wxwindows-exception-3.1
+""".split())
 TAG = "spdx license identifier"
 #: Families whose licences allow closed reuse; for ``permissive``.
 PERMISSIVE = ("apache", "mit", "bsd", "isc", "cc-by", "cc0", "unlicense", "zlib", "0bsd")
 SCAN = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, expressions array<string>, permissive boolean, score double"
 
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_TAG_LINE = re.compile(r"spdx[^\w\n]*license[^\w\n]*identifier[^\w\n(]*([^\n]*)", re.IGNORECASE)
+_WORD = re.compile(rb"[0-9A-Za-z\x80-\xFF]+")
+_LEAD = re.compile(r"^[^\w\n(]*")
 _TOKEN = re.compile(r"\s*([()]|[A-Za-z0-9][A-Za-z0-9.+:-]*)")
 _STRENGTH = {"or": 1, "and": 2, "with": 3}
 
@@ -113,10 +137,31 @@ def evaluate(code: list[str]) -> tuple[set[str], bool, str]:
     return stack[0]
 
 
-def expressions(text: str) -> Iterator[str]:
-    """What follows each identifier tag, up to the line's end."""
-    for found in _TAG_LINE.finditer(text):
-        yield found[1]
+def valid(code: list[str]) -> bool:
+    """Whether the operands of an expression in postfix order are known, and exceptions stand where they may."""
+    stack: list[str] = []  # kinds of operands: licence, exception, compound
+    for token in code:
+        if token not in _STRENGTH:
+            licence = token.removesuffix("+") in LICENCES or re.fullmatch(r"(documentref-[a-z0-9.-]+:)?licenseref-[a-z0-9.-]+", token)
+            stack.append("licence" if licence else "exception" if token in EXCEPTIONS else "unknown")
+            continue
+        right, left = stack.pop(), stack.pop()
+        if token == "with":
+            fits = left == "licence" and right == "exception"
+        else:
+            fits = left in ("licence", "compound") and right in ("licence", "compound")
+        stack.append("compound" if fits else "unknown")
+    return stack in (["licence"], ["compound"])
+
+
+def expressions(raw: bytes, words: list[int]) -> Iterator[str]:
+    """What follows each of the words, given by number, up to the line's end."""
+    wanted = set(words)
+    for k, found in enumerate(_WORD.finditer(raw)):
+        if k in wanted:
+            stop = raw.find(b"\n", found.end())
+            rest = raw[found.end() : stop if stop >= 0 else len(raw)]
+            yield _LEAD.sub("", rest.decode("utf-8", "surrogatepass"))
 
 
 _automaton: ahocorasick.Automaton | None = None
@@ -139,7 +184,7 @@ def scan_text(text: str | None) -> tuple:
     raw = (text or "").encode("utf-8", "surrogatepass")
     words = raw.translate(_WORD_BYTES).split()
     plain = f" {b' '.join(words).decode('utf-8', 'surrogatepass')} "
-    starts, base, further, tagged = [], set(), set(), False
+    starts, base, further, tags = [], set(), set(), []
     for end, (kind, label, length) in automaton().iter(plain):
         if kind == "base":
             starts.append(end - length - 1)
@@ -147,22 +192,21 @@ def scan_text(text: str | None) -> tuple:
         elif kind == "further":
             further.add(label)
         else:
-            tagged = True
+            tags.append(end)
     first = last = None
     if starts:
         first = plain.count(" ", 0, min(starts) + 1) - 1
         last = plain.count(" ", 0, max(starts) + 1) - 1
-    forms, permissive, valid = [], None, False
-    if tagged:
-        for expression in expressions(text or ""):
+    forms, permissive = [], None
+    if tags:
+        for expression in expressions(raw, [plain.count(" ", 0, end) - 1 for end in tags]):
             code = postfix(expression)
-            if code is not None:
+            if code is not None and valid(code):
                 names, free, form = evaluate(code)
                 further |= names
                 forms.append(form)
                 permissive = free if permissive is None else permissive and free
-                valid = True
-    score = 1.0 if valid else 0.8 if base else 0.6 if further else 0.3 if tagged else 0.0
+    score = 1.0 if forms else 0.8 if base else 0.6 if further else 0.3 if tags else 0.0
     return len(words), len(starts), first, last, ",".join(sorted(base)), ",".join(sorted(base | further)), forms, permissive, score
 
 
