@@ -2,8 +2,7 @@
 
 A bitmap in memory is a numpy array (height, width, 4) of straight RGBA bytes.
 None means that a form is not supported, so that the bytes pass through.  Stream
-compressions are a registry by name; those that no library here decodes are
-absent from it.
+compressions are a registry by name.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ from collections.abc import Callable
 
 import numpy as np
 
+from kilnwork.sources import lzfse
 from kilnwork.sources.records import BITMAP, CHUNK, RAW, compression_code, compression_name, stride_of
 
 CHUNK_BYTES = 1 << 20
@@ -21,15 +21,17 @@ CHUNK_BYTES = 1 << 20
 STREAMS: dict[str, tuple[Callable[[bytes], bytes], Callable[[bytes], bytes]]] = {
     "uncompressed": (bytes, bytes),
     "zlib": (zlib.decompress, lambda data: zlib.compress(data, 9)),
+    "lzvn": (lzfse.decompress, lzfse.compress),
+    "lzfse": (lzfse.decompress, lzfse.compress),
 }
 
 
 def inflate(data: bytes, compression: str) -> bytes | None:
     if compression not in STREAMS:
-        return b"" if compression in ("lzfse", "lzvn") and not data else None
+        return None
     try:
         return STREAMS[compression][0](data)
-    except zlib.error:
+    except (zlib.error, lzfse.LzfseError):
         return None
 
 
@@ -234,7 +236,7 @@ def bitmap_encode(rgba: np.ndarray, compression: str, stride: int, pixel_format:
 
 
 def raw_decode(payload: bytes) -> tuple[bytes, bool] | None:
-    """Bytes of a raw-data envelope, and whether they are still an LZFSE stream (passed through)."""
+    """Bytes of a raw-data envelope, and whether they are an LZFSE stream that can't be read (passed through)."""
     if payload[:4] != RAW or len(payload) < 12:
         return None
     size = int.from_bytes(payload[8:12], "little")
@@ -351,6 +353,11 @@ def from_lattice(values: np.ndarray) -> np.ndarray:
     return np.stack([y - c1 - c2, y + c2, y + c1 - c2], axis=-1)
 
 
+def wrapped_cost(found: np.ndarray, rgb: np.ndarray) -> np.ndarray:
+    """Squared distance of colours whose channels are read modulo 256, as other readers do."""
+    return ((found % 256 - rgb) ** 2).sum(axis=1)
+
+
 def default_tile(raw: bytes, width: int, height: int, pixel_format: str) -> np.ndarray | None:
     """Premultiplied RGBA of an inflated default tile."""
     _, _, channels = BLOB_FORMATS[pixel_format]
@@ -399,12 +406,9 @@ def _band(data: bytes, width: int, height: int, stream: str) -> np.ndarray | Non
     codec, kind, tile_w, tile_h, size, body = parts
     name, cell = names[kind]
 
-    def plain(part: bytes) -> bytes | None:  # tiles say themselves what they are: streams of other codecs for tests
-        return zlib.decompress(part) if part[:1] == b"\x78" and "lzfse" not in STREAMS else inflate(part, stream)
-
     if codec == PALETTE:
         count = (size & 0xFFFF) + 1
-        indices = plain(body[4 * count :])
+        indices = inflate(body[4 * count :], stream)
         if len(body) < 4 * count or indices is None or len(indices) != width * height:
             return None
         entries = np.frombuffer(body, np.uint8, 4 * count).reshape(count, 4)[:, [2, 1, 0, 3]]
@@ -422,7 +426,7 @@ def _band(data: bytes, width: int, height: int, stream: str) -> np.ndarray | Non
                 size, at = int.from_bytes(body[at : at + 4], "little"), at + 4
             w, h = min(tile_w, width - x), min(tile_h, height - y)
             part = body[at : at + size]
-            raw = part if codec == PACKED else plain(part)
+            raw = part if codec == PACKED else inflate(part, stream)
             if len(part) < size or raw is None:
                 return None
             at += size
@@ -446,7 +450,7 @@ def _envelope(codec: int, pixel_format: str, width: int, height: int, size: int,
     return BITMAP + struct.pack("<3I", 0, 11, len(wrapped)) + wrapped  # flags must be 0
 
 
-def palette_encode(rgba: np.ndarray, compression: str = "zlib", quantized: bool = False) -> bytes | None:
+def palette_encode(rgba: np.ndarray, compression: str = "lzfse", quantized: bool = False) -> bytes | None:
     """Palette payload; more than 256 colours give None, or their median-cut palette if ``quantized``."""
     flat = rgba.reshape(-1, 4)
     colours, first, inverse, counts = np.unique(flat, axis=0, return_index=True, return_inverse=True, return_counts=True)
@@ -466,7 +470,7 @@ def palette_encode(rgba: np.ndarray, compression: str = "zlib", quantized: bool
     return None if body is None else _envelope(PALETTE, "ARGB", rgba.shape[1], rgba.shape[0], (4 << 16) | len(entries), table + body)
 
 
-def default_encode(rgba: np.ndarray, pixel_format: str, compression: str = "zlib") -> bytes | None:
+def default_encode(rgba: np.ndarray, pixel_format: str, compression: str = "lzfse") -> bytes | None:
     """Planar payload of one tile, for ARGB and GA8."""
     if pixel_format not in ("ARGB", "GA8"):
         return None
@@ -514,14 +518,14 @@ def median_cut(colours: np.ndarray, counts: np.ndarray, limit: int = 256) -> np.
 
 
 def reencode(rgba: np.ndarray, compression: str, stride: int, pixel_format: str) -> tuple[str, bytes] | None:
-    """Compression and payload for an edited bitmap: palette, default, wide, run-length or plain."""
-    if compression == "deepmap2" and (payload := palette_encode(rgba)) is not None:
+    """Compression and payload for an edited bitmap: palette (colour bitmaps only), default, wide, run-length or plain."""
+    if compression == "deepmap2" and pixel_format == "ARGB" and (payload := palette_encode(rgba)) is not None:
         return "deepmap2", payload
     if compression == "deepmap2" and (payload := default_encode(rgba, pixel_format)) is not None:
         return "deepmap2", payload
     if compression == "rle" and pixel_format == "GA8":
         return "rle", bitmap_encode(rgba, "rle", stride, pixel_format)
-    name = compression if compression in STREAMS else "zlib"
+    name = compression if compression in STREAMS else "lzfse"
     payload = bitmap_encode(rgba, name, stride, pixel_format)
     return None if payload is None else (name, payload)
 
@@ -544,7 +548,7 @@ def png_write(rgba: np.ndarray) -> bytes:
 
 
 def png_read(data: bytes) -> np.ndarray | None:
-    """Straight RGBA of a PNG that is not interlaced: gray, RGB, palette, with alpha, transparency, 1 to 16 bits."""
+    """Straight RGBA of a PNG: gray, RGB, palette, with alpha, transparency, 1 to 16 bits, interlaced or not."""
     if data[:8] != _SIGNATURE:
         return None
     at, parts = 8, {}
@@ -554,24 +558,17 @@ def png_read(data: bytes) -> np.ndarray | None:
         at += 12 + size
     width, height, bits, colour, _, _, interlaced = struct.unpack(">IIBBBBB", parts[b"IHDR"])
     channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}.get(colour)
-    if channels is None or interlaced:
+    if channels is None or interlaced > 1:
         return None
-    line, step = -(-width * channels * bits // 8), max(1, channels * bits // 8)
-    raw = np.frombuffer(zlib.decompress(parts[b"IDAT"]), np.uint8).reshape(height, 1 + line)
-    rows = np.zeros((height, line), np.uint8)
-    above = np.zeros(line, np.int64)
-    for y in range(height):
-        above = _unfilter(int(raw[y, 0]), raw[y, 1:].astype(np.int64), above, step)
-        rows[y] = above
-    if bits == 16:
-        samples = rows[:, ::2].reshape(height, width, channels)
-    elif bits == 8:
-        samples = rows.reshape(height, width, channels)
-    else:
-        unpacked = np.unpackbits(rows, axis=1).reshape(height, -1, bits)
-        samples = (unpacked @ (1 << np.arange(bits - 1, -1, -1)))[:, :width, None].astype(np.uint8)
-        if colour == 0:
-            samples = (samples * (255 // ((1 << bits) - 1))).astype(np.uint8)
+    whole = np.zeros((height, width, channels), np.uint16)
+    raw, at = zlib.decompress(parts[b"IDAT"]), 0
+    for x0, y0, dx, dy in _PASSES if interlaced else ((0, 0, 1, 1),):
+        w, h = -(-(width - x0) // dx), -(-(height - y0) // dy)
+        if w > 0 and h > 0:
+            whole[y0::dy, x0::dx], at = _png_pass(raw, at, w, h, channels, bits)
+    samples = (whole >> 8 if bits == 16 else whole).astype(np.uint8)
+    if bits < 8 and colour == 0:
+        samples = (samples * (255 // ((1 << bits) - 1))).astype(np.uint8)
     out = np.full((height, width, 4), 255, np.uint8)
     clear = parts.get(b"tRNS")
     if colour == 3:
@@ -586,11 +583,31 @@ def png_read(data: bytes) -> np.ndarray | None:
         out[..., 3] = samples[..., -1]
     elif clear and bits in (8, 16):
         wanted = struct.unpack(f">{len(clear) // 2}H", clear)
-        whole = rows.reshape(height, width, channels) if bits == 8 else rows.view(">u2").reshape(height, width, channels)
         out[(whole == np.array(wanted)).all(axis=2), 3] = 0
     return out
 
 
+#: First column and row, and steps, of the passes of an interlaced PNG (fixed values).
+_PASSES = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
+
+
+def _png_pass(raw: bytes, at: int, width: int, height: int, channels: int, bits: int) -> tuple[np.ndarray, int]:
+    """Samples of one pass that begins at a byte, and where the next one does."""
+    line, step = -(-width * channels * bits // 8), max(1, channels * bits // 8)
+    filtered = np.frombuffer(raw, np.uint8, height * (1 + line), at).reshape(height, 1 + line)
+    rows = np.zeros((height, line), np.uint8)
+    above = np.zeros(line, np.int64)
+    for y in range(height):
+        above = _unfilter(int(filtered[y, 0]), filtered[y, 1:].astype(np.int64), above, step)
+        rows[y] = above
+    if bits >= 8:
+        samples = rows.view(">u2" if bits == 16 else np.uint8).reshape(height, width, channels)
+    else:
+        unpacked = np.unpackbits(rows, axis=1).reshape(height, -1, bits)
+        samples = (unpacked @ (1 << np.arange(bits - 1, -1, -1)))[:, :width, None]
+    return samples, at + height * (1 + line)
+
+
 def _unfilter(kind: int, line: np.ndarray, above: np.ndarray, step: int) -> np.ndarray:
     if kind == 0:
         return line
