@@ -77,7 +77,30 @@ def smallest_free_id(df: DataFrame, column: str) -> DataFrame:
     return after.join(used, "k", "left_anti").agg(F.min("k").alias("free_id"))
 
 
-def disambiguated(df: DataFrame, stem: str, order: list[Column], name: str) -> DataFrame:
-    """Adds a free name per row: the stem, then stem-1, stem-2, in order within the stem."""
-    n = F.row_number().over(Window.partitionBy(stem).orderBy(*order)) - 1
-    return df.withColumn(name, F.when(n == 0, F.col(stem)).otherwise(F.concat(F.col(stem), F.lit("-"), n.cast("string"))))
+def disambiguated(df: DataFrame, stem: str, order: list[Column], name: str, taken: DataFrame | None = None) -> DataFrame:
+    """Adds a free name per row: the stem, then stem-1, stem-2, in order within the stem.
+
+    Names that are another row's stem, or in the first column of ``taken``, are left
+    out, so names are unique.  A row's place among its stem's comes from a global
+    order, so a frequent stem is no single task's.
+    """
+    placed = global_index(df, [F.col(stem), *order], "__place")
+    stems = placed.groupBy(stem).agg(F.min("__place").alias("__first")).select(F.col(stem).alias("__stem"), "__first")
+    used = stems.select(F.col("__stem").alias("used"))
+    if taken is not None:
+        held = taken.select(F.col(taken.columns[0]).alias("used"))
+        used = used.unionAll(held)
+        whole = held.distinct().select(F.col("used").alias("__stem"), F.lit(1).alias("__held"))
+    else:
+        whole = stems.limit(0).select("__stem", F.lit(1).alias("__held"))
+    # Numbers that are not free for a stem, as a sorted array.
+    number = F.regexp_extract("used", "^.*-([1-9][0-9]{0,8})$", 1).try_cast("int")
+    numbered = used.select(F.regexp_extract("used", "^(.*)-[1-9][0-9]{0,8}$", 1).alias("__stem"), number.alias("k")).where("k is not null")
+    gone = numbered.groupBy("__stem").agg(F.array_sort(F.collect_set("k")).alias("__gone"))
+    every = stems.join(gone, "__stem", "left").join(whole, "__stem", "left")
+    joined = placed.join(every, placed[stem].eqNullSafe(every["__stem"]), "left")
+    n = F.col("__place") - F.col("__first") + F.coalesce("__held", F.lit(0))
+    # The n-th free number: one more for each number in the array that it passes.
+    skipped = F.size(F.filter(F.transform("__gone", lambda k, i: k - i), lambda k: k <= n))
+    free = (n + F.coalesce(skipped, F.lit(0))).cast("string")
+    return joined.withColumn(name, F.when(n == 0, F.col(stem)).otherwise(F.concat(F.col(stem), F.lit("-"), free))).select(*df.columns, name)

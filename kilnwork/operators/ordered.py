@@ -19,14 +19,18 @@ def runs(df: DataFrame, group: list[str], order: list[str], value: str) -> DataF
 def run_tokens(runs_df: DataFrame, group: list[str], limit: int = (1 << 24) - 1) -> DataFrame:
     """Tokens of runs: a run of two or more is a fill, single elements between fills make one literal.
 
-    group, token, kind, first, n; a count is at most ``limit``.
+    group, token, part, kind, first, n; a token over the limit is cut into parts of
+    at most ``limit`` elements.
     """
     w = Window.partitionBy(*group).orderBy("first")
     lone = (F.col("n") == 1).cast("int")
     new = F.when((lone == 1) & (F.lag(lone).over(w) == 1), 0).otherwise(1)
     marked = runs_df.withColumn("kind", F.when(lone == 1, "literal").otherwise("fill")).withColumn("new", new)
     numbered = marked.withColumn("token", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(*group, "token").agg(F.first("kind").alias("kind"), F.min("first").alias("first"), F.least(F.sum("n"), F.lit(limit)).alias("n"))
+    whole = numbered.groupBy(*group, "token").agg(F.first("kind").alias("kind"), F.min("first").alias("start"), F.sum("n").alias("total"))
+    cut = whole.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), pixels.div(F.col("total") - 1, limit))))
+    before = F.col("part") * limit
+    return cut.select(*group, "token", "part", "kind", (F.col("start") + before).alias("first"), F.least(F.col("total") - before, F.lit(limit).cast("long")).alias("n"))
 
 
 def expand(runs_df: DataFrame, columns: list[str], n: str = "n") -> DataFrame:

@@ -152,7 +152,15 @@ def base64_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("hex_roundtrip", "SELECT doc_id, lower(hex(encode(lang))) AS coded, decode(unhex(hex(encode(lang)))) = lang AS same FROM documents")
 def hex_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = F.lower(F.hex(F.col("lang").cast("binary")))
-    return table(spark, sf_dir, "documents").select("doc_id", coded.alias("coded"), (F.unhex(coded).cast("string") == F.col("lang")).alias("same"))
+    return table(spark, sf_dir, "documents").select("doc_id", coded.alias("coded"), (names.checked_hex(coded).cast("string") == F.col("lang")).alias("same"))
+
+
+@query("record_tags", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN page_id WHEN 1 THEN page_id % 65536 END AS tag FROM pages")
+def record_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags from hexadecimal text, with and without 0x; text that is none gives null."""
+    k, digits = F.col("page_id"), F.hex("page_id")
+    text = F.when(k % 4 == 0, F.concat(F.lit("0x"), F.lower(digits))).when(k % 4 == 1, F.lpad(F.hex(k % 65536), 8, "0")).when(k % 4 == 2, F.concat(digits, F.lit("g"))).otherwise("")
+    return table(spark, sf_dir, "pages", "page_id").select("page_id", names.tag_of(text).alias("tag"))
 
 
 @query("order_fingerprint", "SELECT lang, substr(sha256(string_agg(source, '|' ORDER BY source)), 1, 32) AS fingerprint FROM (SELECT DISTINCT lang, source FROM documents) GROUP BY lang")
@@ -186,6 +194,18 @@ def rle_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.run_tokens(_event_runs(spark, sf_dir), ["user_id"]).select("user_id", "kind", "first", "n")
 
 
+@query(
+    "rle_tokens_cut",
+    _RUNS_SQL + """, m AS (SELECT *, CASE WHEN n = 1 AND lag(n) OVER (PARTITION BY user_id ORDER BY first) = 1 THEN 0 ELSE 1 END AS fresh FROM r),
+    t AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY first) AS token FROM m),
+    w AS (SELECT user_id, token, CASE WHEN max(t.n) > 1 THEN 'fill' ELSE 'literal' END AS kind, min(first) AS first, sum(t.n)::BIGINT AS n FROM t GROUP BY user_id, token)
+    SELECT user_id, kind, first + 2 * k AS first, least(2, n - 2 * k) AS n FROM w, LATERAL (SELECT unnest(range((n - 1) // 2 + 1)) AS k)""",
+)
+def rle_tokens_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens over the limit of a count are cut, and no element is lost."""
+    return ordered.run_tokens(_event_runs(spark, sf_dir), ["user_id"], limit=2).select("user_id", "kind", "first", "n")
+
+
 @query("rle_expand", "SELECT user_id, event_type AS value, count(*) AS n FROM events GROUP BY ALL")
 def rle_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs expanded to their elements again, counted against the events themselves."""

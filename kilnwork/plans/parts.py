@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from kilnwork.functions import names, pixels
 from kilnwork.operators import keyed, ordered, resolve
 from kilnwork.plans.registry import query, table
+from kilnwork.sources import codecs
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +44,24 @@ def suffix_disambiguate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.disambiguated(_parts(spark, sf_dir), "p_name", [F.col("p_partkey")], "file").select("p_partkey", "file")
 
 
+_STEMS = "SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN p_brand || '-' || (p_size % 7) ELSE p_brand END AS stem FROM part"
+
+
+@query(
+    "suffix_clash",
+    f"""WITH s AS ({_STEMS}), n AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY p_partkey) - 1 AS n FROM s),
+        free AS (SELECT stem, k, row_number() OVER (PARTITION BY stem ORDER BY k) AS n FROM (SELECT stem, unnest(range(1, max(n) + 10)) AS k FROM n GROUP BY stem)
+            WHERE stem || '-' || k NOT IN (SELECT stem FROM s))
+        SELECT p_partkey, CASE WHEN n.n = 0 THEN stem ELSE stem || '-' || k END AS file FROM n LEFT JOIN free USING (stem, n)""",
+)
+def suffix_clash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M4: numbered names leave out those that are another row's own."""
+    brand = F.col("p_brand")
+    stem = F.when(F.col("p_partkey") % 5 == 0, F.concat(brand, F.lit("-"), (F.col("p_size") % 7).cast("string"))).otherwise(brand)
+    rows = _parts(spark, sf_dir).select("p_partkey", stem.alias("stem"))
+    return keyed.disambiguated(rows, "stem", [F.col("p_partkey")], "file").select("p_partkey", "file")
+
+
 @query("format_path", "SELECT p_partkey, 'renditions/' || CASE WHEN length(p_partkey::VARCHAR) < 3 THEN lpad(p_partkey::VARCHAR, 3, '0') ELSE p_partkey::VARCHAR END || '-' || p_name AS path FROM part")
 def format_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parts(spark, sf_dir).select("p_partkey", names.ordinal_path("renditions", F.col("p_partkey"), F.col("p_name")).alias("path"))
@@ -148,25 +171,23 @@ def ycocg_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "lattice_snap",
-    f"""WITH p AS (SELECT DISTINCT p_partkey % 97 AS r, p_size % 89 AS g, (p_partkey * 3) % 83 AS b FROM part),
-        o AS (SELECT dy, d1, d2, (dy + 2) * 25 + (d1 + 2) * 5 + d2 + 2 AS ord FROM range(-2, 3) a(dy), range(-2, 3) c(d1), range(-2, 3) e(d2)),
-        k AS (SELECT r, g, b, ord, abs((g + dy) - ((b - r) // 2 + d1) - ((g - r) // 4 + d2) - r) + abs((g + dy) + ((g - r) // 4 + d2) - g) + abs((g + dy) + ((b - r) // 2 + d1) - ((g - r) // 4 + d2) - b) AS cost FROM p, o)
-        SELECT r, g, b, min(cost) AS cost, min(cost * 1000 + ord) % 1000 AS place FROM k GROUP BY r, g, b""",
+    "lattice_cost",
+    """WITH p AS (SELECT DISTINCT p_partkey % 256 AS r, p_size * 5 AS g, (p_partkey * 3) % 256 AS b FROM part),
+        k AS (SELECT r, g, b, r + x AS r2, g + y AS g2, b + z AS b2 FROM p, range(-2, 3) i(x), range(-2, 3) j(y), range(-2, 3) k(z)),
+        l AS (SELECT r, g, b, ((r2 + 256) % 256 - r) ** 2 + ((g2 + 256) % 256 - g) ** 2 + ((b2 + 256) % 256 - b) ** 2 AS cost FROM k WHERE (b2 - r2) % 2 = 0 AND (b2 + r2 - 2 * g2) % 4 = 0)
+        SELECT r, g, b, min(cost)::BIGINT AS cost FROM l GROUP BY r, g, b""",
 )
-def lattice_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest of 125 lattice points around a first estimate of the colour transform; ties go to the first."""
-    p, s = F.col("p_partkey"), F.col("p_size").cast("long")
-    colours = _parts(spark, sf_dir).select((p % 97).alias("r"), (s % 89).alias("g"), ((p * 3) % 83).alias("b")).distinct()
-    r, g, b = F.col("r"), F.col("g"), F.col("b")
-    cube = F.array(*[F.struct(F.lit(i).alias("dy"), F.lit(j).alias("d1"), F.lit(k).alias("d2"), F.lit((i + 2) * 25 + (j + 2) * 5 + k + 2).alias("ord")) for i in range(-2, 3) for j in range(-2, 3) for k in range(-2, 3)])
-
-    def cost(o: Column) -> Column:
-        y, c1, c2 = g + o["dy"], pixels.div(b - r, 2) + o["d1"], pixels.div(g - r, 4) + o["d2"]
-        return F.abs(y - c1 - c2 - r) + F.abs(y + c2 - g) + F.abs(y + c1 - c2 - b)
-
-    best = F.array_min(F.transform(cube, lambda o: F.struct(cost(o).alias("cost"), o["ord"].cast("long").alias("place"))))
-    return colours.select("r", "g", "b", best.alias("best")).select("r", "g", "b", "best.cost", "best.place")
+def lattice_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the forward colour transform's lattice point is, modulo 256; no point of 125 is nearer."""
+    p = F.col("p_partkey")
+    colours = _parts(spark, sf_dir).select((p % 256).alias("r"), (F.col("p_size") * 5).cast("long").alias("g"), ((p * 3) % 256).alias("b")).distinct()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rgb = np.stack([np.asarray(c) for c in batch.columns], axis=1).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codecs.wrapped_cost(codecs.from_lattice(codecs.to_lattice(rgb)), rgb))], names=["r", "g", "b", "cost"])
+
+    return colours.mapInArrow(work, "r long, g long, b long, cost long")
 
 
 @query("clamp_quantize", "SELECT p_partkey, CASE WHEN p_size % 11 = 0 THEN 0 ELSE CAST(floor(least(greatest(p_retailprice / 1000.0 - 0.5, 0.0), 1.0) * 255 + 0.5) AS BIGINT) END AS level FROM part")

@@ -15,7 +15,7 @@ def _squared(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, d: s + d)
 
 
-_PAIRS = "FROM embeddings e, (SELECT min(vec_id) AS entry, arg_min(embedding, vec_id) AS other FROM embeddings GROUP BY label) p"
+_PAIRS = "FROM embeddings e, (SELECT min(vec_id) AS entry, arg_min(embedding, vec_id) AS other FROM embeddings GROUP BY label ORDER BY entry LIMIT 256) p"
 _SQUARED = "list_sum(list_transform(range(1, len(embedding) + 1), lambda i: (embedding[i]::DOUBLE - other[i]::DOUBLE) ** 2))"
 
 
@@ -23,10 +23,10 @@ _SQUARED = "list_sum(list_transform(range(1, len(embedding) + 1), lambda i: (emb
 def nearest_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest palette entry by squared distance; ties go to the first.
 
-    The palette is each label's first vector, one row of as many entries as there are labels.
+    The palette is each label's first vector, up to the 256 entries that a palette can hold.
     """
     vectors = _vectors(spark, sf_dir)
-    first = vectors.groupBy("label").agg(F.min("vec_id").alias("vec_id"), F.min_by("embedding", "vec_id").alias("embedding"))
+    first = vectors.groupBy("label").agg(F.min("vec_id").alias("vec_id"), F.min_by("embedding", "vec_id").alias("embedding")).orderBy("vec_id").limit(256)
     palette = first.agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("palette"))
     each = F.transform("palette", lambda p: F.struct(_squared(F.col("embedding"), p["embedding"]).alias("d"), p["vec_id"].alias("entry")))
     found = vectors.crossJoin(F.broadcast(palette)).select("vec_id", F.array_min(each).alias("best"))
