@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kilnwork.plans import content, files, lines, parts, relations, vectors
+from kilnwork.plans import content, files, library, lines, parts, relations, vectors
 from kilnwork.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "content", "files", "lines", "parts", "relations", "vectors"]
+__all__ = ["ORACLES", "QUERIES", "content", "files", "library", "lines", "parts", "relations", "vectors"]

@@ -68,3 +68,33 @@ def sniff(head: Column) -> Column:
         .when(start.startswith("{") | start.startswith("["), "json")
         .otherwise("text")
     )
+
+
+def sniff_container(data: Column) -> Column:
+    """svg, jpg, png, heic or pdf by a payload's first bytes; null for anything else."""
+    start = lambda n, first=1: F.substring(data, first, n)
+    text = F.ltrim(start(16).cast("string"))
+    return (
+        F.when(text.startswith("<svg") | text.startswith("<?xml"), "svg")
+        .when(start(3) == F.lit(b"\xff\xd8\xff"), "jpg")
+        .when(start(8) == F.lit(b"\x89PNG\r\n\x1a\n"), "png")
+        .when((start(4, 5) == F.lit(b"ftyp")) & start(4, 9).isin(*[F.lit(x) for x in (b"heic", b"heix", b"hevc", b"mif1", b"msf1")]), "heic")
+        .when(start(4) == F.lit(b"%PDF"), "pdf")
+    )
+
+
+def is_image_container(data: Column) -> Column:
+    """Whether a payload is an image file of its own."""
+    return F.coalesce(sniff_container(data).isin("jpg", "png", "heic"), F.lit(False))
+
+
+def tag_of(text: Column) -> Column:
+    """A record's tag from hexadecimal text, with or without 0x; null if it isn't one."""
+    digits = F.regexp_extract(text, "^(?:0[xX])?([0-9A-Fa-f]{1,8})$", 1)
+    return F.when(digits != "", F.conv(digits, 16, 10).cast("long"))
+
+
+def checked_hex(text: Column) -> Column:
+    """Bytes of hexadecimal text; an odd number of digits or another character is an error."""
+    wrong = F.when(F.length(text) % 2 == 1, "an odd number of digits").when(~text.rlike("^[0-9A-Fa-f]*$"), "not hexadecimal")
+    return F.when(wrong.isNotNull(), F.raise_error(wrong).cast("binary")).otherwise(F.unhex(text))

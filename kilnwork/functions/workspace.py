@@ -1,21 +1,31 @@
-"""Working tables in the folder that all executors share (spark.checkpoint.dir)."""
+"""Working tables in the folder that all executors share (spark.checkpoint.dir), and files written by tasks."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and rereads it; cuts lineage and survives lost executors."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:  # unset only in tests
+    if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="kilnwork-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Writes df to the shared folder and rereads it; cuts lineage and survives lost executors."""
+    spark, path = df.sparkSession, new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -32,3 +42,35 @@ def put_file(spark: SparkSession, path: str, data: bytes) -> None:
         out.close()
     finally:
         system.setWriteChecksum(True)
+
+
+def write_files(files: DataFrame, folder: str) -> int:
+    """Writes each (file, bytes) below a folder, from the task that holds it; returns how many.
+
+    A file appears whole, by a move, so a task that runs again does no harm.  Stores
+    that Arrow can't write to get their files one at a time through the driver.
+    """
+    rows = files.select("file", "bytes")
+    try:
+        fs.FileSystem.from_uri(folder)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError, ValueError):
+        n = 0
+        for row in rows.toLocalIterator():
+            put_file(files.sparkSession, f"{folder}/{row['file']}", bytes(row["bytes"]))
+            n += 1
+        return n
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = fs.FileSystem.from_uri(folder)
+        n = 0
+        for batch in batches:
+            for name, data in zip(batch.column(0), batch.column(1), strict=True):
+                target = f"{root.rstrip('/')}/{name.as_py()}"
+                system.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(part := f"{target}.{uuid.uuid4().hex}.part") as out:
+                    out.write(data.as_buffer())
+                system.move(part, target)
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    return rows.mapInArrow(work, "n long").agg(F.sum("n").alias("n")).first()["n"] or 0

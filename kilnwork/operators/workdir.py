@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kilnwork.functions.names import sanitize
-from kilnwork.functions.workspace import put_file
+from kilnwork.functions.workspace import write_files
 from kilnwork.operators import catalogs
 from kilnwork.sources import catalog, codecs, records
 
@@ -45,7 +45,7 @@ def files_of(tables: Tables, raw: bool = False, previews: bool = True) -> DataFr
                 found = codecs.raw_decode(payload) if kind == "data" and not raw else None
                 data = payload if found is None else found[0]
                 role = "payload" if found is None else "data"
-                rows.append((path, rid, role, (records.sniff(data) if found else None) or "bin", data))
+                rows.append((path, rid, role, records.sniff(data) or "bin", data))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate((pa.string(), pa.int32(), pa.string(), pa.string(), pa.binary()))], names=["path", "rid", "role", "ext", "bytes"])
 
     empty = r.where(F.lit(False))
@@ -61,7 +61,9 @@ def files_of(tables: Tables, raw: bool = False, previews: bool = True) -> DataFr
 
 
 def decompile(tables: Tables, raw: bool = False, previews: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(path, manifest) and (path, file, bytes)."""
+    """(path, manifest) and (path, file, bytes).  raw and no previews exclude each other."""
+    if raw and not previews:
+        raise ValueError("raw writes no previews anyway; choose one of the two")
     files = files_of(tables, raw, previews)
     out = tables["car_info"].select("path", F.struct(*[c for c in tables["car_info"].columns if c != "path"]).alias("car_info"))
     listed = files.select("path", F.struct("rid", "file", "role", F.sha2("bytes", 256).alias("sha256")).alias("row"))
@@ -75,8 +77,7 @@ def write(tables: Tables, folder: str, raw: bool = False, previews: bool = True)
     """A sub-folder for each catalog, named like its file."""
     manifests, files = decompile(tables, raw, previews)
     rows = manifests.select("path", F.lit("manifest.json").alias("file"), F.col("manifest").cast("binary").alias("bytes")).unionAll(files)
-    for row in rows.toLocalIterator():  # one file at a time
-        put_file(rows.sparkSession, f"{folder}/{row['path'].rsplit('/', 1)[-1]}/{row['file']}", bytes(row["bytes"]))
+    write_files(rows.select(F.concat(F.regexp_extract("path", "([^/]*)$", 1), F.lit("/"), "file").alias("file"), "bytes"), folder)
 
 
 def _inner(name: str) -> str:
@@ -114,8 +115,8 @@ def read(spark: SparkSession, folder: str) -> Tables:
 
     columns = tables["renditions"].columns
     done = catalogs.install(tables["renditions"], decoded("image"))
-    wrapped = F.concat(F.lit(records.RAW), F.lit(b"\0\0\0\0"), catalogs._le32(F.octet_length("content")), F.col("content"))
-    fresh = edited.where("role in ('data', 'payload')").select("path", "rid", F.when(F.col("role") == "data", wrapped).otherwise(F.col("content")).alias("fresh"))
+    done = catalogs._with_data(done, edited.where("role = 'data'").select("path", "rid", F.col("content").alias("bytes")))
+    fresh = edited.where("role = 'payload'").select("path", "rid", F.col("content").alias("fresh"))
     done = done.join(fresh, ["path", "rid"], "left").withColumn("payload", F.coalesce("fresh", "payload")).select(*columns)
     tables["renditions"] = done
     tables["renditions"] = catalogs.paste_links(tables, decoded("link"))

@@ -1,9 +1,10 @@
 """Catalog files as DataFrames, and back.
 
 Files are read with Spark's binaryFile source, so any file system that Spark
-reaches will do, and each file is parsed by one task.  Every relation has the
-file's ``path`` first.  Narrow relations cost no more than they hold:
-``rendition_headers`` never copies tagged records or payloads.
+reaches will do, and each file is parsed by one task, once for all relations that
+``tables`` gives.  Every relation has the file's ``path`` first.  Narrow relations
+give no more than they hold: ``rendition_headers`` never parses tagged records or
+payloads, though the file's bytes come to the task that reads them.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from kilnwork.functions.workspace import put_file
+from kilnwork.functions.workspace import stored, write_files
 from kilnwork.sources import codecs, records
 from kilnwork.sources.blockstore import Store, StoreError, Writer
 
@@ -33,6 +34,7 @@ SCHEMAS = {
     "blocks": "path string, block_id int, bytes binary",
     "vars": "path string, name string, block_id int",
 }
+_PARTS = ("car_info", "facets", "appearances", "localizations", "bitmap_keys", "renditions")
 #: Names that the relations cover; all others are kept as extra_vars.
 _COVERED = ("CARHEADER", "EXTENDED_METADATA", "KEYFORMAT", "APPEARANCEKEYS", "LOCALIZATIONKEYS", "FACETKEYS", "BITMAPKEYS", "RENDITIONS")
 
@@ -138,8 +140,42 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """All relations that writing needs."""
-    return {name: read_catalog(spark, path, name) for name in ("car_info", "facets", "appearances", "localizations", "bitmap_keys", "renditions")}
+    """All relations that writing needs; each file is read and parsed once."""
+    return parse_tables(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path))
+
+
+def parse_tables(files: DataFrame, rows_per_batch: int = 256) -> dict[str, DataFrame]:
+    """As tables, of a frame (path, content).
+
+    One pass writes the rows of all relations to one stored table, a struct for each
+    relation; a relation's reader gets its own columns only.
+    """
+    schemas = {name: _schema(SCHEMAS[name]) for name in _PARTS}
+    schema = "relation string, " + ", ".join(f"{name} {s.simpleString()}" for name, s in schemas.items())
+    arrow = {name: to_arrow_schema(s) for name, s in schemas.items()}
+    kinds = {name: pa.struct(list(s)) for name, s in arrow.items()}
+
+    def tagged(name: str, rows: list[tuple]) -> pa.RecordBatch:
+        mine = pa.StructArray.from_arrays(_batch(rows, arrow[name]).columns, fields=list(arrow[name]))
+        columns = [mine if other == name else pa.nulls(len(rows), kinds[other]) for other in _PARTS]
+        return pa.RecordBatch.from_arrays([pa.array([name] * len(rows)), *columns], names=["relation", *_PARTS])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0), batch.column(1), strict=True):
+                store = Store(content.as_py())
+                for name in _PARTS:
+                    rows: list[tuple] = []
+                    for row in _ROWS[name](store):
+                        rows.append((path.as_py(), *row))
+                        if len(rows) >= rows_per_batch:
+                            yield tagged(name, rows)
+                            rows = []
+                    if rows:
+                        yield tagged(name, rows)
+
+    kept = stored(files.select("path", "content").mapInArrow(work, schema), "relations")
+    return {name: kept.where(F.col("relation") == name).select(f"{name}.*") for name in _PARTS}
 
 
 def _map(value: object) -> dict:
@@ -172,9 +208,6 @@ def assemble(info: dict, facets: list[dict], appearances: list[dict], localizati
     return writer.finish()
 
 
-_PARTS = ("car_info", "facets", "appearances", "localizations", "bitmap_keys", "renditions")
-
-
 def build_catalogs(parts: dict[str, DataFrame]) -> DataFrame:
     """(path, content) of the catalogs that the relations hold; one task assembles each file."""
     gathered = None
@@ -195,6 +228,5 @@ def build_catalogs(parts: dict[str, DataFrame]) -> DataFrame:
 
 
 def save(files: DataFrame, folder: str) -> None:
-    """Writes each (path, content) as a file named like the path's last part, through Hadoop's file systems."""
-    for row in files.toLocalIterator():  # one file at a time
-        put_file(files.sparkSession, f"{folder}/{row['path'].rsplit('/', 1)[-1]}", bytes(row["content"]))
+    """Writes each (path, content) as a file named like the path's last part, from the tasks that hold them."""
+    write_files(files.select(F.regexp_extract("path", "([^/]*)$", 1).alias("file"), F.col("content").alias("bytes")), folder)

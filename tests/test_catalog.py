@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -159,6 +160,20 @@ def test_png():
     assert (codecs.png_read(codecs.png_write(image)) == image).all() and codecs.png_read(b"no") is None
 
 
+def test_interlaced_png():
+    rng = np.random.default_rng(4)
+    for width, height in ((1, 1), (5, 3), (13, 9), (16, 16)):
+        image = rng.integers(0, 256, (height, width, 4), dtype=np.uint8)
+        raw = b""
+        for x0, y0, dx, dy in codecs._PASSES:
+            part = image[y0::dy, x0::dx]
+            if part.size:
+                raw += b"".join(b"\0" + row.tobytes() for row in part)
+        chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+        png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 6, 0, 0, 1)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+        assert (codecs.png_read(png) == image).all()
+
+
 def test_raw_data_flag_is_never_set_over_other_bytes():
     assert codecs.raw_decode(codecs.raw_encode(b"", True)) == (b"", False) and codecs.raw_encode(b"abc", True)[4] == 0
 
@@ -224,8 +239,10 @@ def test_merge(spark, packed, tmp_path):
     new, later = solid(24, 24, (5, 6, 7, 255)), solid(24, 24, (50, 60, 70, 255))
     entries = [(0, "logo", codecs.png_write(new)), (1, "logo", codecs.png_write(later)), (2, "logo", codecs.png_write(solid(5, 5, (0, 0, 0, 255)))), (3, "nobody", b"bytes"), (4, "icon", b"<svg/>"), (5, "paper", b"%PDF-1.4"), (6, "other", b"<svg/>"), (7, "icon", b"<svg id='2'/>"), (8, "other", codecs.png_write(solid(8, 8, (250, 0, 0, 255))))]
     done, report = catalogs.merge(found, spark.createDataFrame(entries, "ordinal long, name string, bytes binary"), add_missing=True)
-    rows = {r.ordinal: (r.outcome, r.n) for r in report.collect()}
-    assert rows == {0: ("replaced", 1), 1: ("replaced", 1), 2: ("unmatched", 0), 3: ("unmatched", 0), 4: ("added", 1), 5: ("added", 1), 6: ("unmatched", 0), 7: ("added", 1), 8: ("replaced", 1)}
+    rows = {r.ordinal: (r.outcome, r.n) for r in report.collect() if r.outcome in ("replaced", "added", "unmatched")}
+    assert rows == {0: ("replaced", 1), 1: ("replaced", 1), 2: ("unmatched", 0), 3: ("unmatched", 0), 4: ("added", 1), 5: ("added", 1), 6: ("unmatched", 0), 7: ("replaced", 1), 8: ("replaced", 1)}
+    why = {(r.ordinal, r.outcome): r.n for r in report.collect()}
+    assert why[0, "size mismatch"] == 1 and why[2, "size mismatch"] == 2 and why[6, "not data"] == 1 and (3, "size mismatch") not in why
     again, images = pixels(spark, write(spark, done, tmp_path))
     assert tuple(images["logo.png"][3, 3]) == (50, 60, 70, 255) and tuple(images["logo@2x.png"][0, 0]) == (1, 2, 3, 255) and tuple(images["other.png"][0, 0]) == (250, 0, 0, 255)
     assert {r["name"]: r["pixel_format"] for r in again["renditions"].collect()}["other.png"] == "ARGB"  # promoted
@@ -266,6 +283,14 @@ def test_links_read_and_paint_bottom_up(spark, tmp_path):
     info = dict.fromkeys(records.CatalogHeader.__dataclass_fields__, 0) | {"main_version_string": "", "version_string": "", "uuid": "00" * 16, "key_format": ["element", "identifier"], "metadata": ["", "", "", ""], "extra_vars": {}}
     (tmp_path / "links.car").write_bytes(catalog.assemble(info, [], [], [], [], rows))
     found = catalog.tables(spark, f"file://{tmp_path}")
+    offers = [(0, "part", codecs.png_write(solid(8, 8, (9, 8, 7, 255)))), (1, "part", codecs.png_write(solid(7, 8, (0, 0, 0, 255)))), (2, "lost", codecs.png_write(solid(1, 1, (0, 0, 0, 255)))), (3, "part", b"text")]
+    done, report = catalogs.merge(found, spark.createDataFrame(offers, "ordinal long, name string, bytes binary"))
+    assert {(r.ordinal, r.outcome, r.n) for r in report.collect()} == {(0, "replaced", 1), (1, "size mismatch", 1), (1, "unmatched", 0), (2, "shared atlas", 1), (2, "unmatched", 0), (3, "not data", 1), (3, "unmatched", 0)}
+    landed = np.frombuffer(bytes(catalogs.bitmaps(done["renditions"]).first().rgba), np.uint8).reshape(48, 16, 4)
+    assert (landed[38:46, 4:12] == (9, 8, 7, 255)).all() and (landed[:38] == atlas[:38]).all()
+    with pytest.raises(ValueError, match="lost"):
+        catalogs.merge_or_fail(found, spark.createDataFrame(offers[2:3], "ordinal long, name string, bytes binary"))
+    assert catalogs.previews(found).select("ok", "total").first() == (2, 3)
     crop = catalogs.linked_images(found).collect()
     assert len(crop) == 1
     image = np.frombuffer(bytes(crop[0].rgba), np.uint8).reshape(8, 8, 4)

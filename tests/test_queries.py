@@ -10,7 +10,7 @@ from tests.oracle import rows, views
 
 SF = str(DATA / "sf0.001")
 #: Empty on the smallest tables, not on larger ones.
-MAY_BE_EMPTY = {"symdiff", "composite_key_join", "crop_flip", "unmatched_names"}
+MAY_BE_EMPTY = {"symdiff", "composite_key_join", "crop_flip"}
 
 
 @pytest.fixture(scope="module")
