@@ -353,8 +353,10 @@ def merge(tables: Tables, replacements: DataFrame, add_missing: bool = False) ->
     that there is.  Later entries of such a name replace what the first one added.
     """
     offered = _measured(replacements)
-    landed, told = _landings(tables, offered)
-    done = _applied(tables, landed)
+    judged = stored(_judged(tables, offered), "judged")
+    told = judged.groupBy("path", "ordinal", "name", "outcome").agg(F.count("*").alias("n"))
+    last = judged.where(F.col("outcome") == INSTALLED).groupBy("path", "rid", "kind").agg(F.max("ordinal").alias("ordinal"))
+    done = _applied(tables, stored(last.join(offered.select("ordinal", "bytes"), "ordinal"), "landed"))
     out, report = dict(tables) | {"renditions": done}, told
     if add_missing:
         out, gained = _added(out, offered, told)
@@ -374,11 +376,12 @@ def merge_or_fail(tables: Tables, replacements: DataFrame, add_missing: bool = F
     return out
 
 
-def _landings(tables: Tables, offered: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Which entry lands on which rendition (path, rid, ordinal, kind, bytes), and the report of all that were tried."""
+def _judged(tables: Tables, offered: DataFrame) -> DataFrame:
+    """(path, rid, name, ordinal, kind, outcome): what each entry does to each rendition of its name."""
     r = tables["renditions"]
     named = named_renditions(tables).join(offered.withColumnRenamed("path", "only"), "name").where("only is null or only = path").drop("only")
-    wanted, tried = named.select("path", "rid").distinct(), named.select("path", "rid", "name", "ordinal", "w", "h", "bytes")
+    tried = stored(named.select("path", "rid", "name", "ordinal", "w", "h"), "tried")
+    wanted = tried.select("path", "rid").distinct()
     mine = r.join(wanted, ["path", "rid"], "left_semi")
     found = resolve_links(dict(tables) | {"renditions": r, "linked": mine})
     rects = found.select("path", "rid", F.col("width").alias("rect_w"), F.col("height").alias("rect_h"), "atlas_rid")
@@ -392,18 +395,19 @@ def _landings(tables: Tables, offered: DataFrame) -> tuple[DataFrame, DataFrame]
     link = F.when(F.col("atlas_readable").isNull(), SHARED_ATLAS).when(fits("rect_w", "rect_h"), INSTALLED).otherwise(SIZE_MISMATCH)
     png = F.when(F.col("compression").isNotNull(), bitmap).when(F.col("kind") == "link", link).otherwise(NOT_A_BITMAP)
     outcome = F.when(is_png, png).when(F.col("kind") == "data", INSTALLED).otherwise(NOT_DATA)
-    judged = tried.join(state, ["path", "rid"]).withColumn("outcome", outcome)
-    told = judged.groupBy("path", "ordinal", "name", "outcome").agg(F.count("*").alias("n"))
-    return judged.where(F.col("outcome") == INSTALLED).select("path", "rid", "ordinal", "kind", "bytes"), told
-
-
-def _applied(tables: Tables, landed: DataFrame) -> DataFrame:
-    """renditions with the last entry of each: bitmaps first, then links into their atlases, then data."""
-    last = stored(landed.groupBy("path", "rid").agg(F.max_by(F.struct("bytes", "kind"), "ordinal").alias("new")).select("path", "rid", "new.*"), "landed")
-    done = install(tables["renditions"], last.where("kind not in ('link', 'data')").select("path", "rid", F.col("bytes").alias("rgba")))
-    pasted = last.where("kind = 'link'").select("path", "rid", F.col("bytes").alias("rgba"))
-    done = paste_links(dict(tables) | {"renditions": done}, pasted)
-    return _with_data(done, last.where("kind = 'data'").select("path", "rid", "bytes"))
+    return tried.join(state, ["path", "rid"]).select("path", "rid", "name", "ordinal", "kind", outcome.alias("outcome"))
+
+
+def _applied(tables: Tables, last: DataFrame) -> DataFrame:
+    """renditions with the new contents (path, rid, kind, bytes): bitmaps first, then links into their atlases, then data."""
+    done, kinds = tables["renditions"], {r["kind"] for r in last.select("kind").distinct().collect()}  # a few names
+    if kinds - {"link", "data"}:
+        done = install(done, last.where("kind not in ('link', 'data')").select("path", "rid", F.col("bytes").alias("rgba")))
+    if "link" in kinds:
+        done = paste_links(dict(tables) | {"renditions": done}, last.where("kind = 'link'").select("path", "rid", F.col("bytes").alias("rgba")))
+    if "data" in kinds:
+        done = _with_data(done, last.where("kind = 'data'").select("path", "rid", "bytes"))
+    return done
 
 
 def _with_data(renditions: DataFrame, fresh: DataFrame) -> DataFrame:

@@ -209,22 +209,38 @@ def assemble(info: dict, facets: list[dict], appearances: list[dict], localizati
 
 
 def build_catalogs(parts: dict[str, DataFrame]) -> DataFrame:
-    """(path, content) of the catalogs that the relations hold; one task assembles each file."""
+    """(path, content) of the catalogs that the relations hold; one task assembles each file.
+
+    The rows of all relations meet in one shuffle and stream into the task that
+    writes their file, which holds one file at a time.  Rows of files without a
+    header are left out.
+    """
+    kinds = {name: _schema(SCHEMAS[name]) for name in _PARTS}
     gathered = None
-    for name in _PARTS:
-        df = parts[name]
-        rows = df.groupBy("path").agg(F.collect_list(F.struct(*[c for c in df.columns if c != "path"])).alias(name))
-        gathered = rows if gathered is None else gathered.join(rows, "path", "left")
-    schema = "path string, content binary"
+    for k, name in enumerate(_PARTS):
+        mine = F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in kinds[name]])
+        columns = [(mine if other == name else F.lit(None)).cast(kinds[other]).alias(other) for other in _PARTS]
+        rows = parts[name].select("path", F.lit(k).alias("part"), *columns)
+        gathered = rows if gathered is None else gathered.unionAll(rows)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = {name: batch.column(batch.schema.get_field_index(name))[k].as_py() or [] for name in _PARTS}
-                data = assemble(row["car_info"][0], *(row[n] for n in _PARTS[1:]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([data], pa.binary())], names=["path", "content"])
+        held: dict[str, list[dict]] = {}
+        path = None
 
-    return gathered.select("path", *_PARTS).mapInArrow(work, schema)
+        def file() -> Iterator[pa.RecordBatch]:
+            if held.get("car_info"):
+                data = assemble(held["car_info"][0], *(held.get(n, []) for n in _PARTS[1:]))
+                yield pa.RecordBatch.from_arrays([pa.array([path], pa.string()), pa.array([data], pa.binary())], names=["path", "content"])
+
+        for batch in batches:
+            for k, (of, part) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if of != path:
+                    yield from file()
+                    held, path = {}, of
+                held.setdefault(_PARTS[part], []).append(batch.column(2 + part)[k].as_py())
+        yield from file()
+
+    return gathered.repartition("path").sortWithinPartitions("path", "part").mapInArrow(work, "path string, content binary")
 
 
 def save(files: DataFrame, folder: str) -> None:
