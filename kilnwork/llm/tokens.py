@@ -32,14 +32,16 @@ from __future__ import annotations
 import json
 import os
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
 from kilnwork.llm.textblocks import blocks, mix64, text_buffer
 
-#: A worker's cache is emptied at the end of a block that takes it past one of these.
-CACHE_PARTS, CACHE_BYTES = 500_000, 24_000_000
+#: Past one of these (parts, their ids, bytes of long ones), a worker's cache keeps only the short parts that were used most
+#: when the next block begins, up to half of each.
+CACHE_PARTS, CACHE_IDS, CACHE_BYTES = 500_000, 2_000_000, 8_000_000
 KEY_BYTES = 24
 _SLOT_BITS = 21
 #: White space of Unicode, as the tokenizers' patterns have it (fixed values).
@@ -102,16 +104,45 @@ class Encoder:
 
     def _empty(self) -> None:
         """Forgets all parts.  Entry 0 is no part's."""
-        self._known: dict[bytes, int] = {}
+        self._known: dict[bytes, int] = {}  # entries of long parts and stretches
         self._bytes = 0
         self._slots = np.zeros(1 << _SLOT_BITS, np.int32)
         self._keys = np.zeros((1024, 3), np.uint64)
-        self._sizes = np.full(1024, -1, np.int64)  # bytes of each part
-        self._at = np.zeros(1024, np.int64)  # its first id in the store
-        self._count = np.zeros(1024, np.int64)
+        self._sizes = np.zeros(1024, np.uint8)  # bytes of each short part, 0 for any other
+        self._at = np.zeros(1024, np.int32)  # its first id in the store
+        self._count = np.zeros(1024, np.int32)
+        self._uses = np.zeros(1024, np.int32)
         self._store = np.zeros(4096, np.uint32)
         self._entries, self._stored = 1, 0
 
+    def _shrink(self) -> None:
+        """Keeps the short parts that were used most, and at least twice; their counts begin anew."""
+        n = self._entries
+        best = np.argsort(-self._uses[:n], kind="stable")[: CACHE_PARTS // 2]
+        best = best[(self._uses[best] > 1) & (self._sizes[best] > 0)]
+        best = best[np.cumsum(self._count[best]) <= CACHE_IDS // 2]
+        keys, sizes, at, count = self._keys[best], self._sizes[best], self._at[best], self._count[best]
+        store = self._store
+        self._empty()
+        ends = np.cumsum(count, dtype=np.int64)
+        total = int(ends[-1]) if len(ends) else 0
+        self._room(len(best), total)
+        self._store[:total] = store[np.repeat(at - (ends - count), count) + np.arange(total)]
+        new = slice(1, 1 + len(best))
+        self._keys[new], self._sizes[new], self._at[new], self._count[new] = keys, sizes, ends - count, count
+        self._entries, self._stored = 1 + len(best), total
+        one, two = _places(keys.T, sizes.astype(np.uint64))
+        self._slots[two] = self._slots[one] = np.arange(1, 1 + len(best))
+
+    def _room(self, entries: int, ids: int) -> None:
+        """Makes room for more entries and ids."""
+        while self._entries + entries > len(self._at):
+            for name in ("_keys", "_sizes", "_at", "_count", "_uses"):
+                old = getattr(self, name)
+                setattr(self, name, np.concatenate([old, np.zeros_like(old)]))
+        while self._stored + ids > len(self._store):
+            self._store = np.concatenate([self._store, np.zeros_like(self._store)])
+
     def _cuts(self, text: str) -> list[str]:
         """Parts of any text, by regular expressions."""
         if self._how == "whole" or "<|" in text:
@@ -127,38 +158,26 @@ class Encoder:
             return [t.id for t in self._model.tokenize(part.encode().decode("latin-1").translate(_ALPHABET))]
         return self._tokenizer.encode(part, add_special_tokens=False).ids
 
-    def _learn(self, raws: list[bytes], plain: bool) -> list[int]:
-        """Entries of parts (plain), or of stretches that have to be cut first; new ones are added."""
-        new = [raw for raw in dict.fromkeys(raws) if raw not in self._known]
-        if new and plain:
-            self._add(new, [self._ids(raw.decode("utf-8", "replace")) for raw in new])
-        elif new:
-            found = []
-            for raw in new:
-                parts = self._learn([p.encode("utf-8", "surrogatepass") for p in self._cuts(raw.decode("utf-8", "replace"))], True)
-                found.append([x for e in parts for x in self._store[self._at[e] : self._at[e] + self._count[e]].tolist()])
-            # A stretch may be its own only part, which is known by now.
-            fresh = [(raw, ids) for raw, ids in zip(new, found, strict=True) if raw not in self._known]
-            if fresh:
-                self._add([raw for raw, _ in fresh], [ids for _, ids in fresh])
-        return [self._known[raw] for raw in raws]
-
-    def _add(self, raws: list[bytes], ids: list[list[int]]) -> None:
-        first, last = self._entries, self._entries + len(raws)
+    def _long(self, raw: bytes, plain: bool) -> int:
+        """The entry of a long part (plain), or of a stretch that has to be cut first."""
+        found = self._known.get(raw)
+        if found is None:
+            text = raw.decode("utf-8", "replace")
+            found = self._known[raw] = self._entries
+            self._add([self._ids(text) if plain else [x for part in self._cuts(text) for x in self._ids(part)]])
+            self._bytes += len(raw)
+        return found
+
+    def _add(self, ids: list[list[int]]) -> np.ndarray:
+        """New entries with these ids."""
         counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        ends = self._stored + np.cumsum(counts)
-        while last > len(self._at):
-            self._keys, self._at, self._count = (np.concatenate([x, np.zeros_like(x)]) for x in (self._keys, self._at, self._count))
-            self._sizes = np.concatenate([self._sizes, np.full_like(self._sizes, -1)])
-        while ends[-1] > len(self._store):
-            self._store = np.concatenate([self._store, np.zeros_like(self._store)])
-        self._store[self._stored : ends[-1]] = np.fromiter((x for part in ids for x in part), np.uint32, int(counts.sum()))
-        self._at[first:last], self._count[first:last] = ends - counts, counts
-        sizes = np.fromiter(map(len, raws), np.int64, len(raws))
-        self._sizes[first:last] = np.where(sizes <= KEY_BYTES, sizes, -1)
-        self._keys[first:last] = np.frombuffer(b"".join(raw[:KEY_BYTES].ljust(KEY_BYTES, b"\0") for raw in raws), np.uint64).reshape(-1, 3)
-        self._known.update(zip(raws, range(first, last), strict=True))
-        self._entries, self._stored, self._bytes = last, int(ends[-1]), self._bytes + int(sizes.sum() + 4 * counts.sum())
+        total = int(counts.sum())
+        self._room(len(ids), total)
+        new = np.arange(self._entries, self._entries + len(ids))
+        self._store[self._stored : self._stored + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
+        self._at[new], self._count[new] = self._stored + np.cumsum(counts) - counts, counts
+        self._entries, self._stored = self._entries + len(ids), self._stored + total
+        return new
 
     def _units(self, data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Begin and end of what is looked up, in order, and whether it is a part."""
@@ -232,9 +251,8 @@ class Encoder:
         size = end - begin
         out = np.zeros(len(begin), np.int64)
         short = plain & (size <= KEY_BYTES)
-        for kind in (True, False):
-            of_kind = np.flatnonzero(~short & (plain == kind)).tolist()
-            out[of_kind] = self._learn([(data if kind else cased)[begin[k] : end[k]].tobytes() for k in of_kind], kind)
+        for k in np.flatnonzero(~short).tolist():
+            out[k] = self._long((data if plain[k] else cased)[begin[k] : end[k]].tobytes(), bool(plain[k]))
         at = np.flatnonzero(short)
         start, size = begin[at], size[at]
         padded = np.concatenate([data, np.zeros(KEY_BYTES, np.uint8)])
@@ -245,21 +263,26 @@ class Encoder:
             longer = np.flatnonzero(size > k)
             part[longer] = eight[start[longer] + k] & _MASK[np.minimum(size[longer] - k, 8)]
             keys.append(part)
-        mixed = mix64(mix64(keys[0] + size.astype(np.uint64)) ^ (keys[1] * np.uint64(0x9E3779B97F4A7C15) + keys[2]))
-        slot = (mixed >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+        one, two = _places(keys, size.astype(np.uint64))
         open_ = np.arange(len(at))
         while True:
-            entry = self._slots[slot[open_]]
-            same = self._sizes[entry] == size[open_]
-            for k in range(3):
-                same &= self._keys[entry, k] == keys[k][open_]
-            out[at[open_[same]]] = entry[same]
-            open_ = open_[~same]
+            for place in (one, two):
+                entry = self._slots[place[open_]]
+                same = self._sizes[entry] == size[open_]
+                for k in range(3):
+                    same &= self._keys[entry, k] == keys[k][open_]
+                out[at[open_[same]]] = entry[same]
+                open_ = open_[~same]
             if not len(open_):
                 return out
-            places, one = np.unique(slot[open_], return_index=True)
-            one = open_[one].tolist()
-            self._slots[places] = self._learn([data[start[k] : start[k] + size[k]].tobytes() for k in one], True)
+            _, new = np.unique(one[open_], return_index=True)
+            new = open_[new]
+            entries = self._add([self._ids(data[a:b].tobytes().decode("utf-8", "replace")) for a, b in zip(start[new].tolist(), (start + size)[new].tolist(), strict=True)])
+            self._sizes[entries] = size[new]
+            for k in range(3):
+                self._keys[entries, k] = keys[k][new]
+            # The second place if the first is another's.
+            self._slots[np.where(self._slots[one[new]] == 0, one[new], two[new])] = entries
 
     def column(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of each whole text of a column, null counting as empty, and where each text's ids begin (and the end)."""
@@ -272,8 +295,8 @@ class Encoder:
         return np.concatenate(found) if found else np.empty(0, np.uint32), np.cumsum(np.concatenate(sizes))
 
     def _block(self, data: np.ndarray, rows: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
-        if self._entries > CACHE_PARTS or self._bytes > CACHE_BYTES:
-            self._empty()
+        if self._entries > CACHE_PARTS or self._stored > CACHE_IDS or self._bytes > CACHE_BYTES:
+            self._shrink()
         if not len(data):
             begin = end = np.empty(0, np.int64)
             plain = np.empty(0, bool)
@@ -284,6 +307,8 @@ class Encoder:
         else:
             begin, end, plain = self._units(data, rows)
         entry = self._lookup(_lowered(data) if self._how == "words" else data, data, begin, end, plain) if len(begin) else np.empty(0, np.int64)
+        used = np.bincount(entry)
+        self._uses[: len(used)] += used
         counts = self._count[entry]
         ends = np.cumsum(counts)
         total = int(ends[-1]) if len(ends) else 0
@@ -302,6 +327,13 @@ class Encoder:
         return [ids[a:b].astype("<u4").tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
+def _places(keys: list[np.ndarray] | np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two slots of each key."""
+    mixed = mix64(mix64(keys[0] + sizes) ^ (keys[1] * np.uint64(0x9E3779B97F4A7C15) + keys[2]))
+    low = mixed & np.uint64((1 << _SLOT_BITS) - 1)
+    return (mixed >> np.uint64(64 - _SLOT_BITS)).astype(np.int64), low.astype(np.int64)
+
+
 def _lowered(data: np.ndarray) -> np.ndarray:
     """Letters of ASCII and, after their lead byte, of Latin-1 in lower case."""
     out = _LOWER_TABLE[data]
