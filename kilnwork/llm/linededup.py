@@ -28,7 +28,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from kilnwork.llm.shared import stored
+from kilnwork.llm.shared import drop, stored
 
 MIN_CHARS, MIN_DOCS = 20, 3
 #: A key with more rows than this many partitions' share of all counts as hot.
@@ -83,8 +83,8 @@ def dropped_lines(keys: DataFrame, min_docs: int) -> DataFrame:
     return cold.unionAll(warm)
 
 
-def bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> tuple[DataFrame, str]:
-    """Runs of dropped lines by (doc_id, copy) for documents that lose any, and the working table's path.
+def bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """Runs of dropped lines by (doc_id, copy) for documents that lose any; a stored table.
 
     ``dropped`` is an array of (first, length), sorted: the run-length code of the bitmap.
     """
@@ -93,7 +93,9 @@ def bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOC
     of_doc = Window.partitionBy("doc_id", "copy")
     # Repeated rows give a position more than once; the dense rank numbers positions, whatever their copies.
     runs = rows.select("doc_id", "copy", "pos", (F.col("pos") - F.dense_rank().over(of_doc.orderBy("pos"))).alias("run")).groupBy("doc_id", "copy", "run").agg(F.min("pos").alias("first"), (F.max("pos") - F.min("pos") + 1).alias("length"))
-    return runs.groupBy("doc_id", "copy").agg(F.array_sort(F.collect_list(F.struct("first", "length"))).alias("dropped")), path
+    found, _ = stored(runs.groupBy("doc_id", "copy").agg(F.array_sort(F.collect_list(F.struct("first", "length"))).alias("dropped")), "line-runs")
+    drop(docs.sparkSession, path)
+    return found
 
 
 def apply(docs: DataFrame, runs: DataFrame) -> DataFrame:

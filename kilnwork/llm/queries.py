@@ -56,7 +56,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    runs, _ = linededup.bitmaps(docs)
+    runs = linededup.bitmaps(docs)
     return linededup.apply(docs, runs).select("doc.doc_id", "line_dedup.n_lines", "line_dedup.n_dropped", F.sha2("line_dedup.kept_text", 256).alias("kept_sha256"))
 
 

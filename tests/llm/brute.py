@@ -88,3 +88,52 @@ def quality(text: str | None) -> tuple[int, int, int, int, int]:
 def places(text: str | None, phrases: list[str]) -> tuple[int, list[int]]:
     w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(text or ""))
     return len(w), sorted(k for p in phrases for k in range(len(w)) if w[k : k + len(p.split())] == p.split())
+
+
+def split_url(url: str | None) -> tuple[str, str]:
+    at = (url or "").find("://")
+    if at < 0:
+        return "", ""
+    host, path = re.match("([^/?#]*)([^?#]*)", url[at + 3 :], re.DOTALL).groups()
+    return lower(host), path
+
+
+def grams(text: str | None) -> list[str]:
+    """All runs of one to three of a text's letters; what lies between words is one separator, also at the ends."""
+    parts = "".join(c if c.isalpha() else "\x01" for c in (text or "").lower())
+    words = [w for w in parts.split("\x01") if w]
+    if not words:
+        return []
+    joined = "\x01" + "\x01".join(words) + "\x01"
+    return [c for c in joined if c != "\x01"] + [joined[k : k + n] for n in (2, 3) for k in range(len(joined) - n + 1)]
+
+
+def top_grams(texts: list[str | None], limit: int) -> list[str]:
+    """The most frequent first; of equals the smaller code, so shorter ones and those with smaller characters."""
+    counts = Counter(g for t in texts for g in grams(t))
+    return sorted(counts, key=lambda g: (-counts[g], len(g), g))[:limit]
+
+
+def language(text: str | None, profiles: dict[str, list[str]], limit: int) -> tuple[str, float]:
+    mine = top_grams([text], limit)
+    if not mine:
+        return "und", 0.0
+    best = []
+    for lang, profile in profiles.items():
+        place = {g: k for k, g in enumerate(profile)}
+        apart = sum(min(limit, abs(k - place[g])) if g in place else limit for k, g in enumerate(mine))
+        best.append((apart, lang))
+    apart, lang = min(best)
+    return lang, 1 - apart / (limit * len(mine))
+
+
+def features(text: str | None) -> list[tuple]:
+    """Tokens, runs of letters and digits or of other signs, and pairs of neighbours."""
+    tokens = re.findall("[0-9A-Za-z\x80-\U0010ffff]+|[^0-9A-Za-z\x80-\U0010ffff\x20\x09-\x0d]+", text or "")
+    return [(t,) for t in tokens] + list(zip(tokens, tokens[1:], strict=False))
+
+
+def item_shingles(text: str | None) -> frozenset:
+    """Five-word shingles of letters and digits in lower case; a shorter text's whole sequence."""
+    w = re.findall("[0-9a-z\x80-\U0010ffff]+", lower(text or ""))
+    return frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])

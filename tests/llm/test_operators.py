@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import random
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,12 +37,15 @@ def test_parts_give_the_ids_of_whole_texts(path):
 
 
 def test_cache_is_bounded(monkeypatch):
-    monkeypatch.setattr(tokens, "CACHE_PARTS", 5)
+    monkeypatch.setattr(tokens, "CACHE_PARTS", 20)
+    monkeypatch.setattr(tokens, "blocks", lambda column: textblocks.blocks(column, 300))
     coder = tokens.Encoder(BYTE)
-    texts = [" ".join(f"word{k}" for k in range(j, j + 40)) for j in range(10)]
+    texts = [" ".join(f"word{chr(97 + k % 26)}{chr(97 + j % 26)}" for k in range(j, j + 40)) + " often often" for j in range(30)]
     assert coder.encode(texts) == [x[:-1].tobytes() for x in whole_ids(BYTE, texts, 0)]
+    assert coder._entries < 200  # a block adds its parts to at most half of 20
+    monkeypatch.setattr(tokens, "CACHE_IDS", 1)
     assert coder.encode(["word1"]) == [x[:-1].tobytes() for x in whole_ids(BYTE, ["word1"], 0)]
-    assert coder._entries == 3 and len(coder._known) == 2  # "word" and "1"; emptied before the second column's first block
+    assert coder._entries == 3
 
 
 def test_parts_of_blocks_and_long_parts(monkeypatch):
@@ -68,6 +74,22 @@ def test_language_id(spark):
     assert [got[k].lang_pred for k in (1000, 1001, 1002, 1003)] == ["und", "und", "und", "en"]
 
 
+def test_distances_against_plain_profiles(spark):
+    """Prediction and score by the out-of-place distance, spelled out."""
+    rng = random.Random(12)
+    words = {"aa": ["lupo", "mare", "notte", "è", "sole"], "bb": ["haus", "und", "Straße", "nicht"], "cc": ["the", "moor", "night", "naïve"]}
+    docs = [(k, " ".join(rng.choice(words[x] + ["12", "!"]) for _ in range(rng.randrange(1, 60))), x) for k in range(150) for x in [rng.choice(list(words))]]
+    docs += [(200, " ".join(w for v in words.values() for w in v) * 40, None), (201, "zzz", None), (None, "the moor", "cc"), (3, docs[3][1], docs[3][2])]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string").withColumn("n", F.lit(1)).withColumn("share", F.lit("x"))
+    learned = {x: brute.top_grams([t for i, t, lang in docs if lang == x and i is not None and zlib.crc32(str(i).encode()) % 5], langid.PROFILE) for x in words}
+    null_row = [t for i, t, lang in docs if i is None]
+    learned["cc"] = brute.top_grams([t for i, t, lang in docs if lang == "cc" and (i is None or zlib.crc32(str(i).encode()) % 5)], langid.PROFILE) if null_row else learned["cc"]
+    texts = {i: t for i, t, _ in docs}
+    for r in langid.predict(df, langid.fit(df)).collect():
+        want = brute.language(texts[r.doc_id], learned, langid.PROFILE)
+        assert r.lang_pred == want[0] and abs(r.score - want[1]) < 1e-9, texts[r.doc_id]
+
+
 def test_language_id_without_labels(spark):
     assert langid.predict(cases.empty(spark), langid.fit(cases.empty(spark))).count() == 0
     df = cases.documents(spark).withColumn("lang", F.lit(None).cast("string"))
@@ -131,9 +153,9 @@ def test_packing_in_small_groups(spark, monkeypatch):
 # 3
 
 
-@pytest.mark.parametrize(("block", "most", "slots"), [(neardup.BLOCK_ELEMENTS, neardup.BLOCK_MEMBERS, neardup.SLOTS), (150, 20_000, 7), (10_000, 3, 0)])
-def test_near_duplicates(spark, monkeypatch, block, most, slots):
-    monkeypatch.setattr(neardup, "SLOTS", slots)
+@pytest.mark.parametrize(("block", "most", "few"), [(neardup.BLOCK_ELEMENTS, neardup.BLOCK_MEMBERS, neardup.FEW), (150, 20_000, 7), (10_000, 3, 0)])
+def test_near_duplicates(spark, monkeypatch, block, most, few):
+    monkeypatch.setattr(neardup, "FEW", few)
     rng = random.Random(11)
     vocabulary = [f"v{k}" for k in range(400)]
     docs = []
@@ -224,9 +246,9 @@ def test_hubs_and_blocks(spark, monkeypatch):
     assert {(r.node, r.root) for r in roots.collect()} == {(k, 0) for k in range(1, 400)}
 
 
-@pytest.mark.parametrize("slots", [1 << 20, 0])
-def test_keep_one_with_clashing_names(spark, monkeypatch, slots):
-    monkeypatch.setattr(neardup, "SLOTS", slots)
+@pytest.mark.parametrize("few", [1 << 20, 0])
+def test_keep_one_with_clashing_names(spark, monkeypatch, few):
+    monkeypatch.setattr(neardup, "FEW", few)
     text = " ".join(f"w{k}" for k in range(30))
     rows = [(1, text, 5), (2, text, 6), (2, "something else", 7), (3, "other words here", 8), (3, "other words here", 8), (None, text, 9), (None, None, 9), (4, None, 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, kept_id int")
@@ -312,7 +334,7 @@ def test_url_filter(spark):
     rules = {r: v == "block" for v, r in urlfilter.RULES}
     got = {r.page_id: r for r in urlfilter.judge(df, rules).collect()}
     for k, url in enumerate(urls):
-        host, path = urlfilter.split_url(url)
+        host, path = brute.split_url(url)
         fits = [(len(r), r) for r in rules if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith(r[r.index("/") :])]
         rule = max(fits)[1] if fits else None
         assert (got[k].host, got[k].path, got[k].rule, got[k].verdict) == (host, path, rule, "block" if rule and rules[rule] else "allow")
@@ -351,6 +373,47 @@ def test_decontamination(spark):
     assert decontaminate.clean(cases.documents(spark), items).count() == len(cases.rows())
 
 
+def test_partitions_by_size():
+    """Each size class has bounds of its own, and they decide what is a candidate."""
+    rng = random.Random(4)
+    item = lambda n: " ".join(f"t{rng.randrange(10**9)}" for _ in range(n))
+    texts = [item(6), item(7), item(40), item(400), item(500)]
+    index = decontaminate.Index.build(list(range(5)), texts, 5, 0.8)
+    sizes = [2, 3, 36, 396, 496]
+    assert [len(s) for s in index.sets] == sizes
+    assert [(p.least_size, sorted(set(p.postings.tolist()))) for p in index.partitions] == [(2, [0, 1]), (29, [2]), (317, [3, 4])]
+    assert [p.least_hits for p in index.partitions][:2] == [2, 29] and 40 < index.partitions[2].least_hits < 0.8 * 128
+    assert all(len(p.postings) == n for p, n in zip(index.partitions, (5, 36, 256), strict=True))
+    document = index.sets[3][: int(0.7 * 396)]
+    assert index.partitions[2].candidates(document).tolist() == [3]
+    strict = decontaminate.Partition(129, 1, index.partitions[2].hashes, index.partitions[2].starts, index.partitions[2].postings)
+    assert not len(strict.candidates(document))  # another bound, other candidates
+
+
+def test_containment_recall_at_the_threshold():
+    """Items of all sizes at a containment of 0.8 or just above, inside long documents."""
+    rng = random.Random(6)
+    texts, docs = [], []
+    for n in [5, 6, 9, 20, 100, 140, 300, 700] * 25:
+        words = [f"w{rng.randrange(10**9)}" for _ in range(n)]
+        shingles = max(1, n - 4)
+        lost = int(0.2 * shingles + 1e-9)  # words cut off at the end, a shingle each
+        texts.append(" ".join(words))
+        docs.append(" ".join([f"x{rng.randrange(10**9)}" for _ in range(300)] + words[: n - lost] + [f"y{rng.randrange(10**9)}" for _ in range(300)]))
+    index = decontaminate.Index.build(list(range(len(texts))), texts, 5, 0.8)
+    batch = pa.RecordBatch.from_arrays([pa.array(docs)], names=["text"])
+    found = {(a + row, i) for a, _, words in textblocks.each_block(batch, "text", lower=True, kinds=decontaminate.KINDS) for row, i, _ in index.search(words, 5, 0.8)}
+    assert found == {(k, k) for k in range(len(texts))}
+
+
+def test_large_ids_of_items(spark):
+    big = (1 << 53) + 1
+    items = spark.createDataFrame([(big, "one two three four five six"), (None, "six five four three two one"), (big, "one two three four five six")], "item_id long, text string")
+    df = spark.createDataFrame([(big + 2, "one two three four five six"), (None, "six five four three two one")], "doc_id long, text string").withColumn("item_id", F.lit("clash"))
+    got = [(r.doc_id, r.item_id) for r in decontaminate.contained(df, items).collect()]
+    assert sorted(got, key=str) == sorted([(big + 2, big), (big + 2, big), (None, None)], key=str)
+
+
 # 7
 
 
@@ -372,6 +435,43 @@ def test_license_expressions(text, want):
     assert licenses.postfix(text) == want
 
 
+@pytest.mark.parametrize(
+    ("text", "labels", "score"),
+    [
+        ("SPDX-License-Identifier: hello", "", 0.3),
+        ("SPDX-License-Identifier: MIT with MIT", "", 0.3),
+        ("SPDX-License-Identifier: (MIT or ISC) with LLVM-exception", "", 0.3),
+        ("SPDX-License-Identifier: Apache-2.0 with LLVM-exception with LLVM-exception", "", 0.3),
+        ("SPDX-License-Identifier: LLVM-exception", "", 0.3),
+        ("// SPDX-License-Identifier: Apache-2.0 WITH LLVM-exception */", "apache-2.0", 1.0),
+        ("# SPDX-License-\n# Identifier: GPL-2.0+ OR MIT\nmore", "gpl-2.0+,mit", 1.0),
+        ("spdx license identifier\nMIT", "", 0.3),
+        ("SPDX-License-Identifier: LicenseRef-Own-1 and 0BSD", "0bsd,licenseref-own-1", 1.0),
+        ("the MIT License and\nthe Mozilla Public License", "mit,mpl", 0.8),
+        ("é All rights reserved", "", 0.0),
+        ("the ISC licence; ISC license.", "isc", 0.6),
+        (None, "", 0.0),
+    ],
+)
+def test_license_labels(text, labels, score):
+    got = licenses.scan_text(text)
+    assert (got[5], got[8]) == (labels, score)
+
+
+def test_license_labels_against_plain_search(spark):
+    """All labels by a search for each phrase, and the score that follows from them."""
+    rng = random.Random(8)
+    phrases = licenses.BASE | licenses.FURTHER
+    pieces = [*phrases, "gnu", "general public", "license", "cc", "by", "words", "MIT", "x"]
+    texts = ["; ".join(rng.choice(pieces).upper() if rng.random() < 0.3 else rng.choice(pieces) for _ in range(rng.randrange(12))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in licenses.scan(df).collect():
+        found = {label for phrase, label in phrases.items() if brute.places(texts[r.doc_id], [phrase])[1]}
+        base = {label for phrase, label in licenses.BASE.items() if brute.places(texts[r.doc_id], [phrase])[1]}
+        assert (r.base_labels, r.labels) == (",".join(sorted(base)), ",".join(sorted(found)))
+        assert r.score == (0.8 if base else 0.6 if found else 0.0)
+
+
 # 8
 
 
@@ -445,15 +545,15 @@ def test_line_dedup(spark, monkeypatch, share):
     monkeypatch.setattr(linededup, "HOT_PARTITIONS", share)  # with 0, every key takes the way of hot keys
     df = cases.unique(spark)
     want = brute.line_dedup({r.doc_id: r.text for r in df.collect()})
-    done = linededup.apply(df, linededup.bitmaps(df)[0])
+    done = linededup.apply(df, linededup.bitmaps(df))
     got = {r.doc.doc_id: (r.line_dedup.n_lines, r.line_dedup.n_dropped, r.line_dedup.kept_text) for r in done.collect()}
     assert got == want and sum(w[1] for w in want.values()) == 4
 
 
 def test_line_dedup_edges(spark):
     df = cases.documents(spark)
-    assert linededup.apply(df, linededup.bitmaps(df)[0]).count() == len(cases.rows())
-    assert linededup.apply(cases.empty(spark), linededup.bitmaps(cases.empty(spark))[0]).count() == 0
+    assert linededup.apply(df, linededup.bitmaps(df)).count() == len(cases.rows())
+    assert linededup.apply(cases.empty(spark), linededup.bitmaps(cases.empty(spark))).count() == 0
 
 
 # 10
@@ -471,6 +571,52 @@ def test_quality_statistics(spark):
         assert r.base_failed == (n < 20 or 100 * repeat > 30 * n) and not (r.base_failed and r.kept)
 
 
+def test_ratio_against_plain_counts(spark):
+    """Scores and verdicts from dictionaries of n-grams instead of hashed buckets."""
+    rng = random.Random(14)
+    pools = (["oak", "elm", "ash,", "fir."], ["win", "cash", "oak", "$$$", "now!"])
+    docs = [(k, " ".join(rng.choice(pools[k % 3 == 0]) for _ in range(rng.randrange(20, 80)))) for k in range(150)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("trusted", F.lit("clash")).withColumn("target", F.lit(1))
+    labels = spark.createDataFrame([(k, int(k % 3 > 0), 0) for k in range(0, 150, 2)], "doc_id long, quality int, toxic int")
+    sample = {r.doc_id: (r.trusted, r.target) for r in quality.labelled_sample(labels).collect()}
+    grams = {k: brute.features(t) for k, t in docs}
+    raw, target = Counter(), Counter()
+    for k, g in grams.items():
+        raw.update(g)
+        if sample.get(k, (False, False))[1]:
+            target.update(g)
+    share = sum(target.values()) / sum(raw.values())
+    weight = {g: math.log((target[g] + quality.PRIOR) / (raw[g] * share + quality.PRIOR)) for g in raw}
+    scores = {k: sum(weight[x] for x in g) / len(g) for k, g in grams.items()}
+    unseen = {k for k, (_, seen) in sample.items() if not seen}
+    cut = quality.choose_threshold(np.array([scores[k] for k in unseen if sample[k][0]]), np.array([scores[k] for k in unseen if not sample[k][0]]))
+    model = quality.fit(df, labels)
+    for r in quality.judge(df, model).collect():
+        assert abs(r.score - scores[r.doc_id]) < 1e-9
+        assert r.kept == (not r.base_failed and scores[r.doc_id] >= cut - 1e-12)
+
+
+def test_long_texts(spark):
+    """A document above a block, and columns of several blocks."""
+    rng = random.Random(15)
+    long = " ".join(f"w{rng.randrange(5000)}" for _ in range(250_000))
+    assert len(long) > textblocks.BLOCK_BYTES
+    rows = [(1, long), (2, "short text " * 10), (3, long[: 1 << 20]), (4, f"{long} tail"), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    groups = {r.doc_id: r.component_id for r in neardup.near_duplicates(df, neardup.Rule(3, 85, 100)).collect()}
+    assert groups == brute.components({k: brute.shingles(t, 3) for k, t in rows}, 85, 100)
+    passage = " ".join(long.split()[200_000:200_040])
+    items = spark.createDataFrame([(1, passage), (2, "absent words of an item here")], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.contained(df, items).collect()) == [(1, 1), (4, 1)]
+    want = brute.removed([t for _, t in rows])
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substrings.remove_repeats(df).collect()}
+    assert got == {k: w for (k, _), w in zip(rows, want, strict=True)}
+    model = quality.Model(np.zeros(1 << quality.BUCKET_BITS), 0.0)
+    for r in quality.judge(df, model).collect():
+        text = dict(rows)[r.doc_id]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute.quality(text)
+
+
 def test_quality_ratio(spark):
     rng = random.Random(4)
     good = [" ".join(rng.choice(["tree", "lake", "hill", "moss"]) + rng.choice(["", ".", ","]) for _ in range(60)) for _ in range(120)]
