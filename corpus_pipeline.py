@@ -2,9 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next stage's docs.  All but the last return the
-columns of documents.  Rows without a doc_id pass the stages that compare
-documents; null texts count as empty, which the quality rules reject.  An empty
-table gives an empty result at every stage.
+columns of documents, whatever further ones there are and whatever their names.
+Rows without a doc_id pass the stages that compare documents; null texts count as
+empty, which the quality rules reject.  Of rows that repeat a doc_id one stays in
+near-dedup; ties between near copies go to the smallest doc_id, between lines to
+the largest.  Texts of any length are read whole.  An empty table gives an empty
+result at every stage.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kilnwork.llm import decontaminate, linededup, neardup, packing, quality
 from kilnwork.llm.queries import tokenizer_path
-from kilnwork.llm.shared import stored, table
+from kilnwork.llm.shared import drop, stored, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,13 +31,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     n_chars, where the table has it, is the number of characters that are left.
     """
-    runs, _ = linededup.bitmaps(docs)
+    runs = linededup.bitmaps(docs)
     done = linededup.apply(docs, runs)
     text = F.when(F.col("line_dedup.had_text"), F.col("line_dedup.kept_text"))
     fresh = {"text": text}
     if "n_chars" in docs.columns:
-        fresh["n_chars"] = F.when(F.col("line_dedup.n_dropped") > 0, F.char_length("line_dedup.kept_text")).otherwise(F.col("doc.n_chars"))
-    return done.select(*[(fresh[c] if c in fresh else F.col(f"doc.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
+        shorter = F.col("line_dedup.n_dropped") > 0
+        fresh["n_chars"] = F.when(shorter, F.char_length("line_dedup.kept_text")).otherwise(F.col("doc.n_chars"))
+    column = lambda c: fresh[c] if c in fresh else F.col(f"doc.`{c}`")
+    return done.select(*[column(c).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,7 +73,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies all stages to documents."""
-    docs = table(spark, sf_dir, "documents")
+    docs, path = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs, _ = stored(stage(spark, docs, sf_dir), name)
+        docs, fresh = stored(stage(spark, docs, sf_dir), name)
+        if path:
+            drop(spark, path)
+        path = fresh
     return STAGES[-1][1](spark, docs, sf_dir)
