@@ -58,3 +58,22 @@ def quantize8(value: Column) -> Column:
 
 def round_up(value: Column, step: int) -> Column:
     return div(value.cast("long") + (step - 1), step) * step
+
+
+#: What the counts below give for samples of different lengths.
+UNEQUAL_LENGTHS = -1
+
+
+def samples_over(a: Column, b: Column, tolerance: float) -> Column:
+    """How many samples of two arrays differ by more than the tolerance; UNEQUAL_LENGTHS where they can't be compared."""
+    apart = F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double")))
+    n = F.size(F.filter(apart, lambda d: d > tolerance)).cast("long")
+    return F.when(F.size(a) == F.size(b), n).otherwise(F.lit(UNEQUAL_LENGTHS))
+
+
+def pixels_over(a: Column, b: Column, tolerance: float, channels: int = 4) -> Column:
+    """As samples_over, but a pixel of several channels counts once."""
+    apart = F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double")) > tolerance)
+    places = F.when(F.size(apart) >= channels, F.sequence(F.lit(0), div(F.size(apart), channels).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    n = F.size(F.filter(places, lambda k: F.exists(F.slice(apart, k * channels + 1, channels), lambda over: over))).cast("long")
+    return F.when(F.size(a) == F.size(b), n).otherwise(F.lit(UNEQUAL_LENGTHS))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from kilnwork.functions import pixels
 from kilnwork.plans.registry import query, table
 
 
@@ -57,9 +58,24 @@ def max_abs_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _differences(spark, sf_dir).select("vec_id", F.round(F.array_max("diff"), 5).alias("peak"))
 
 
-@query("count_over_tol", f"SELECT a.vec_id, len(list_filter({_DIFF}, lambda d: d > 0.25)) AS n_over {_NEXT}")
+def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector beside the one with the next id; those of ids divisible by 7 lose their last value."""
+    vectors = _vectors(spark, sf_dir)
+    after = vectors.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    cut = F.when(F.col("vec_id") % 7 == 0, F.slice("embedding", F.lit(1), F.size("embedding") - 1)).otherwise(F.col("embedding"))
+    return vectors.select("vec_id", cut.alias("embedding")).join(after, "vec_id")
+
+
+@query("count_over_tol", f"SELECT a.vec_id, CASE WHEN a.vec_id % 7 = 0 THEN -1 ELSE len(list_filter({_DIFF}, lambda d: d > 0.25)) END AS n_over {_NEXT}")
 def count_over_tol(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _differences(spark, sf_dir).select("vec_id", F.size(F.filter("diff", lambda d: d > 0.25)).cast("long").alias("n_over"))
+    """Samples beyond the tolerance; -1 for vectors of different lengths."""
+    return _neighbours(spark, sf_dir).select("vec_id", pixels.samples_over(F.col("embedding"), F.col("other"), 0.25).alias("n_over"))
+
+
+@query("pixels_over_tol", f"SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN -1 ELSE len(list_filter(range(0, len(d) // 4), lambda k: list_max(d[k * 4 + 1:k * 4 + 4]) > 0.25)) END AS n_over FROM (SELECT a.vec_id, {_DIFF} AS d {_NEXT})")
+def pixels_over_tol(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As count_over_tol, for groups of four samples."""
+    return _neighbours(spark, sf_dir).select("vec_id", pixels.pixels_over(F.col("embedding"), F.col("other"), 0.25).alias("n_over"))
 
 
 @query("mean_abs_err", f"SELECT a.vec_id, round(list_avg({_DIFF}), 5) AS mean {_NEXT}")
