@@ -105,9 +105,12 @@ def _anchors(bits: int, window: int, anchor: int):
             values, counts = np.unique(np.concatenate(held) if held else np.empty(0, np.uint64), return_counts=True)
             edge = _split(values, bits)
             used = np.flatnonzero(np.diff(edge))
-            rows = [(k, values[edge[k] : edge[k + 1]].tobytes(), np.packbits(counts[edge[k] : edge[k + 1]] > 1).tobytes(), 0) for k in used.tolist()]
+            parts = [(k, slice(edge[k], edge[k + 1])) for k in used.tolist()]
+            rows = [(k, values[at].tobytes(), np.packbits(counts[at] > 1).tobytes(), 0) for k, at in parts]
             rows.append((-1, b"", b"", text))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.int64()), strict=True)], names=["bucket", "hashes", "twice", "bytes"])
+            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.int64())
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+            return pa.RecordBatch.from_arrays(columns, names=["bucket", "hashes", "twice", "bytes"])
 
         for batch in batches:
             for _, _, words in each_block(batch, "text", lower=False):
@@ -279,7 +282,8 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owner, target = owner[by], target[by]
         edge = np.searchsorted(source[owner], np.arange(len(rows) + 1))
         used = np.flatnonzero(np.diff(edge)).tolist()
-        columns = [[row[owner[edge[k] : edge[k + 1]]].tobytes() for k in used], [start[owner[edge[k] : edge[k + 1]]].tobytes() for k in used], [target[edge[k] : edge[k + 1]].tobytes() for k in used]]
+        parts = [slice(edge[k], edge[k + 1]) for k in used]
+        columns = [[x[at].tobytes() for at in parts] for x in (row[owner], start[owner], target)]
         yield pa.RecordBatch.from_arrays([pa.array([rows[k][0] for k in used], pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], names=["shard", "row", "start", "target"])
 
 

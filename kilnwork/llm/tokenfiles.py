@@ -294,10 +294,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 if size >= LANE_TOKENS or k == batch.num_rows - 1:
                     shift = [starts[s] for s, b in waiting for _ in b.doc_ids]
                     rows = list(read_blocks(code, [b for _, b in waiting]))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([d for d, _, _ in rows], pa.int64()), pa.array([s + x for (_, s, _), x in zip(rows, shift, strict=True)], pa.int64()), pa.array([len(i) for _, _, i in rows], pa.int64()), pa.array([i.astype("<u4").tobytes() for _, _, i in rows], pa.binary())],
-                        names=["doc_id", "start", "n_tokens", "ids"],
-                    )
+                    begin = [s + x for (_, s, _), x in zip(rows, shift, strict=True)]
+                    numbers = [pa.array(x, pa.int64()) for x in ([d for d, _, _ in rows], begin, [len(i) for _, _, i in rows])]
+                    raw = pa.array([i.astype("<u4").tobytes() for _, _, i in rows], pa.binary())
+                    yield pa.RecordBatch.from_arrays([*numbers, raw], names=["doc_id", "start", "n_tokens", "ids"])
                     waiting, size = [], 0
 
     return found.select("shard", "data").mapInArrow(work, DOCUMENTS)
