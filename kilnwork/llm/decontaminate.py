@@ -37,7 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from kilnwork.llm.textblocks import TOKEN_KINDS, Words, distinct, each_block, grams, shingle_sets, whole
+from kilnwork.llm.textblocks import TOKEN_KINDS, Words, distinct, each_block, grams, released, shingle_sets, whole
 
 SHINGLE, THRESHOLD = 5, 0.8
 SKETCH = 128
@@ -190,7 +190,7 @@ def contained(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, thresho
                 at = pa.array([r for r, _, _ in found], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), *(pa.array(x, pa.int64()) for x in numbers), share], names=[x.split()[0] for x in HITS.split(", ")])
 
-        part = source.mapInArrow(work, HITS)
+        part = source.mapInArrow(released(work), HITS)
         out = part if out is None else out.unionAll(part)
     return out
 
@@ -209,5 +209,5 @@ def clean(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, threshold:
                         keep[a + row] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(work, docs.schema)
+        docs = docs.mapInArrow(released(work), docs.schema)
     return docs

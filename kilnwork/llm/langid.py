@@ -27,6 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from kilnwork.llm.textblocks import released
+
 PROFILE = 400
 SAMPLE_ROWS, MAX_LANGUAGES = 3_000, 1_000
 UNDETERMINED = "und"
@@ -123,7 +125,7 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Profiles:
 
     # At most MAX_LANGUAGES rows.
     sample = rows.join(F.broadcast(shares), F.col("lang") == F.col("learned")).where(part < F.col("share"))
-    totals = sample.select("text", "lang").mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    totals = sample.select("text", "lang").mapInArrow(released(count), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     # Each task keeps the first PROFILE of a language before they meet.
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
     got = totals.withColumn("rank", rank).where(F.col("rank") <= PROFILE).toPandas()
@@ -139,4 +141,4 @@ def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
             made = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["doc_id", "held_out", "lang_pred", "score"])
 
-    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(work, "doc_id long, held_out boolean, lang_pred string, score double")
+    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(released(work), "doc_id long, held_out boolean, lang_pred string, score double")

@@ -15,8 +15,8 @@ connected components of the links.
 3. Banding.  Classes that share a band meet in a bucket.  The number of bands
    makes a pair at the threshold miss with a probability under MISS.  Buckets
    with the same members are kept once.  Only texts of classes in a bucket are
-   read again; a broadcast of at most SLOTS hashed ids tells them in the scan
-   (beyond that, a join does).
+   read again; a broadcast of at most FEW ids picks them in the scan (beyond that, a
+   join does).
 4. Verification on full sets, bucket by bucket, without emitting pairs.  A pair
    at the threshold shares one of either set's rarest shingles, as many as may be
    missing (prefix filtering, exact); members meet by those.  Of those that meet,
@@ -52,15 +52,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kilnwork.llm.shared import drop, stored
-from kilnwork.llm.textblocks import each_block, mix64, shingle_sets
+from kilnwork.llm.textblocks import each_block, mix64, released, shingle_sets
 
 ROWS_PER_BAND = 6
 MISS = 1e-5
 BLOCK_ELEMENTS, BLOCK_MEMBERS = 2_000_000, 20_000
 _DIGEST = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
-_STAGE_ELEMENTS = 200_000
-#: Hashed ids in a broadcast, and rows of bucket members in one (about 40 bytes each).
-SLOTS, BROADCAST_ROWS = 1 << 20, 1 << 19
+_STAGE_ELEMENTS = 60_000
+#: The most rows of a broadcast: of one or two numbers, and of bucket members (about 40 bytes each).
+FEW, BROADCAST_ROWS = 1 << 20, 1 << 19
 #: A graph with fewer edges needs no split of hubs.
 HUB_ROWS = 100_000
 
@@ -157,30 +157,26 @@ def signed(docs: DataFrame, rule: Rule) -> DataFrame:
                 every = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *numbers, every], names=["doc_id", "n_shingles", "d1", "d2", "bands"])
 
-    return _texts(docs).mapInArrow(work, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>")
+    return _texts(docs).mapInArrow(released(work), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def _slots(ids: DataFrame, column: str) -> DataFrame | None:
-    """Hashes of a small table's ids, at most SLOTS; None for a larger table."""
-    if ids.limit(SLOTS + 1).count() > SLOTS:
-        return None
-    return ids.select(F.pmod(F.xxhash64(column), F.lit(SLOTS)).alias("slot")).distinct()
+def _few(ids: DataFrame) -> bool:
+    """Whether a stored table is small enough to be broadcast: at most FEW rows of two numbers."""
+    return ids.limit(FEW + 1).count() <= FEW
 
 
 def _narrowed(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
-    """rows without most of those whose column is not in ids; a broadcast if ids are few, else an exact join."""
-    slots = _slots(ids, column)
-    if slots is None:
-        return rows.join(ids.select(column).distinct(), column, "left_semi")
-    return rows.join(F.broadcast(slots), F.pmod(F.xxhash64(column), F.lit(SLOTS)) == F.col("slot"), "left_semi")
+    """The rows whose column is in ids; by a broadcast if those are few."""
+    wanted = ids.select(column).distinct()
+    return rows.join(F.broadcast(wanted) if _few(wanted) else wanted, column, "left_semi")
 
 
 def sets_of(docs: DataFrame, needed: DataFrame, rule: Rule, repeats: bool = True) -> DataFrame:
-    """(class_id, d1, elements) of the classes in ``needed`` (class_id), and of some others.
+    """(class_id, d1, elements) of the classes in ``needed`` (class_id).
 
     repeats: rows may repeat a doc_id; each of its sets is returned once.
     """
@@ -193,7 +189,7 @@ def sets_of(docs: DataFrame, needed: DataFrame, rule: Rule, repeats: bool = True
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), first, pa.array([s.tobytes() for s in sets], pa.binary())], names=["class_id", "d1", "elements"])
 
     named = _texts(docs).withColumnRenamed("doc_id", "class_id")
-    found = _narrowed(named, "class_id", needed).select("class_id", "text").mapInArrow(work, "class_id long, d1 long, elements binary")
+    found = _narrowed(named, "class_id", needed).select("class_id", "text").mapInArrow(released(work), "class_id long, d1 long, elements binary")
     return found.dropDuplicates(["class_id", "d1"]) if repeats else found
 
 
@@ -227,14 +223,22 @@ def _prefix(size: np.ndarray, rule: Rule) -> np.ndarray:
 def _meetings(inverse: np.ndarray, sizes: np.ndarray, rule: Rule) -> Iterator[np.ndarray]:
     """Members that share one of their rarest elements, for each such element."""
     rarity = np.bincount(inverse)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    order = np.lexsort((inverse, rarity[inverse], owner))
-    place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    kept = order[place < np.repeat(_prefix(sizes, rule), sizes)]
-    kept = kept[rarity[inverse[kept]] > 1]
-    kept = kept[np.argsort(inverse[kept], kind="stable")]
-    edges = np.flatnonzero(np.diff(inverse[kept])) + 1
-    for members in np.split(owner[kept], edges) if len(kept) else []:
+    rank = np.empty(len(rarity), np.int64)
+    rank[np.argsort(rarity, kind="stable")] = np.arange(len(rarity))
+    # One number for each element: its member, then its rarity.
+    both = np.repeat(np.arange(len(sizes)) * len(rarity), sizes)
+    both += rank[inverse]
+    both.sort()
+    ends = np.cumsum(sizes)
+    prefix = _prefix(sizes, rule)
+    starts = np.repeat(ends - sizes - (np.cumsum(prefix) - prefix), prefix)
+    kept = both[starts + np.arange(len(starts))]
+    owner, token = kept // len(rarity), kept % len(rarity)
+    lone = int(np.count_nonzero(rarity == 1))  # the rarest of all
+    owner, token = owner[token >= lone], token[token >= lone]
+    order = np.argsort(token, kind="stable")
+    owner, token = owner[order], token[order]
+    for members in np.split(owner, np.flatnonzero(np.diff(token)) + 1) if len(token) else []:
         if len(members) > 1:
             yield members
 
@@ -254,20 +258,30 @@ def links(ids: list[int], sets: list[np.ndarray], rule: Rule, labels: np.ndarray
     groups = _Groups(np.arange(len(ids)) if labels is None else labels)
     every = np.concatenate(sets)
     order = np.argsort(every, kind="stable")
-    inverse = np.empty(len(every), np.int64)
-    inverse[order] = np.cumsum(np.concatenate([[0], np.diff(every[order]) != 0]))
+    every = every[order]
+    inverse = np.empty(len(every), np.int32)
+    inverse[order] = np.cumsum(np.concatenate([[False], every[1:] != every[:-1]]), dtype=np.int32)
+    del every, order
     starts = np.cumsum(sizes) - sizes
-    mark = np.zeros(int(inverse.max()) + 1, np.int64)
+    mark = np.zeros(int(inverse.max()) + 1, np.int16)
     is_centre = np.ones(len(ids), bool)
     if centres is not None:
         is_centre[:] = False
         is_centre[centres] = True
     out: list[tuple[int, int]] = []
-    for members in _meetings(inverse, sizes, rule):
-        waiting = members[is_centre[members]]
+    first = int(np.flatnonzero(is_centre)[0]) if is_centre.any() else 0
+
+    def meetings() -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+        """Members that meet, those of them to compare, and whether that is one with all, which may join them all."""
+        yield np.arange(len(ids)), np.array([first]), True
+        if len(np.unique(groups.roots(np.arange(len(ids))))) > 1:
+            for members in _meetings(inverse, sizes, rule):
+                yield members, members[is_centre[members]], False
+
+    for members, waiting, star in meetings():
         while len(waiting):
             root, mine = groups.roots(members), groups.roots(waiting)
-            if (root == root[0]).all() or (centres is None and (mine == mine[0]).all()):
+            if (root == root[0]).all() or (centres is None and not star and (mine == mine[0]).all()):
                 break
             i = int(waiting[np.argmin(groups.size[mine])])
             waiting = waiting[waiting != i]
@@ -279,7 +293,7 @@ def links(ids: list[int], sets: list[np.ndarray], rule: Rule, labels: np.ndarray
             at = np.repeat(starts[others] - (ends - sizes[others]), sizes[others]) + np.arange(ends[-1])
             own = inverse[starts[i] : starts[i] + sizes[i]]
             mark[own] = 1
-            shared = np.add.reduceat(mark[inverse[at]], ends - sizes[others])
+            shared = np.add.reduceat(mark[inverse[at]], ends - sizes[others], dtype=np.int64)
             mark[own] = 0
             linked = others[rule.denominator * shared >= rule.numerator * (sizes[others] + sizes[i] - shared)]
             if len(linked):
@@ -331,7 +345,7 @@ def _linked(rows: DataFrame, rule: Rule, width: int, across: bool) -> DataFrame:
                 out = []
         yield _pairs(out)
 
-    return rows.mapInArrow(work, "a long, b long")
+    return rows.mapInArrow(released(work), "a long, b long")
 
 
 def _pairs(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -419,7 +433,7 @@ def bucket_members(classes: DataFrame, block_elements: int, block_members: int)
     """
     banded = classes.select("class_id", "d1", "n_shingles", F.explode("bands").alias("key"))
     again, again_path = stored(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "bands")
-    hits, hits_path = stored(_narrowed(banded, "key", again).join(again, "key"), "bands")
+    hits, hits_path = stored(_narrowed(banded, "key", again), "bands")
     drop(classes.sparkSession, again_path)
     blocks = F.greatest(F.ceil(F.sum("n_shingles") / block_elements), F.ceil(F.count("*") / block_members)).cast("int")
     who = F.bit_xor(F.xxhash64("class_id", "d1"))
@@ -458,7 +472,7 @@ def _links_across(docs: DataFrame, large: DataFrame, roots: DataFrame, rule: Rul
             yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(5)), pa.array(token)], names=["key", "class_id", "d1", "n_shingles", "label", "token"])
 
     with_sets = rows.join(sets_of(docs, rows.select("class_id").distinct(), rule, repeats), ["class_id", "d1"]).select("key", "class_id", "d1", "n_shingles", "label", "elements")
-    tokens = with_sets.mapInArrow(rarest, "key long, class_id long, d1 long, n_shingles long, label long, token long")
+    tokens = with_sets.mapInArrow(released(rarest), "key long, class_id long, d1 long, n_shingles long, label long, token long")
     rarity = tokens.groupBy("key", "token").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("key", "class_id", "d1").orderBy("n", "token"))
     prefix = F.col("n_shingles") - F.ceil(F.col("n_shingles") * rule.numerator / rule.denominator) + 1
@@ -467,12 +481,16 @@ def _links_across(docs: DataFrame, large: DataFrame, roots: DataFrame, rule: Rul
 
     of = ["key", "token"]
     counts = met.groupBy(*of, "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("elements"))
-    main = counts.groupBy(*of).agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("n_main"), F.sum("elements").alias("elements")).where("n > n_main")
+    largest = F.max_by("label", F.struct("n", "label")).alias("main")
+    sums = [F.sum("n").alias("n"), F.max("n").alias("n_main"), F.sum("elements").alias("elements")]
+    main = counts.groupBy(*of).agg(largest, *sums).where("n > n_main")
     blocks = F.greatest(F.ceil(F.col("elements") / block_elements), F.ceil(F.col("n") / block_members)).cast("int")
     main = main.withColumn("blocks", blocks).withColumn("out_blocks", F.ceil(F.col("blocks") * (F.col("n") - F.col("n_main")) / F.col("n")).cast("int"))
     open_ = met.join(main, of)
-    centre = open_.where("label <> main").select(*of, "class_id", "d1", "label", _block(F.col("out_blocks"), 1).alias("out"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("centre"))
-    other = open_.select(*of, "class_id", "d1", "label", F.explode(F.sequence(F.lit(0), F.col("out_blocks") - 1)).alias("out"), _block(F.col("blocks"), 0).alias("block"), F.lit(False).alias("centre"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    row = [*of, "class_id", "d1", "label"]
+    centre = open_.where("label <> main").select(*row, _block(F.col("out_blocks"), 1).alias("out"), each("blocks").alias("block"), F.lit(True).alias("centre"))
+    other = open_.select(*row, each("out_blocks").alias("out"), _block(F.col("blocks"), 0).alias("block"), F.lit(False).alias("centre"))
     placed = centre.unionByName(other)
     keys = [*of, "out", "block"]
     across = sets_of(docs, open_.select("class_id").distinct(), rule, repeats).join(placed, ["class_id", "d1"]).select(*keys, "class_id", "d1", "elements", "label", "centre")
@@ -488,7 +506,8 @@ def _grouped(named: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFram
     partition's share of the rows, at most one for each partition, are broadcast.
     """
     total = classes.agg(F.sum("copies").alias("n")).first()["n"] or 0
-    rooted = classes.select("d1", "d2", "copies", "class_id").join(roots, F.col("class_id") == F.col("node"), "left").select("d1", "d2", "copies", "class_id", F.coalesce("root", "class_id").alias("component_id"))
+    named_sets = classes.select("d1", "d2", "copies", "class_id").join(roots, F.col("class_id") == F.col("node"), "left")
+    rooted = named_sets.select("d1", "d2", "copies", "class_id", F.coalesce("root", "class_id").alias("component_id"))
     share = max(1, total // _parts(named))
     large = classes.where(F.col("copies") > share).select(F.col("d1").alias("h1"), F.col("d2").alias("h2"), F.lit(True).alias("hot"))
     rows = named.select("doc_id", "n_shingles", "d1", "d2")
@@ -512,13 +531,12 @@ def keep_one(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     special, _ = stored(judged.where("not stays or n > 1").select(F.col("doc_id").alias("id"), "stays"), "dropped")
     # All columns travel in one, so that no name clashes.
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("tie"))
-    plain, rows = rows.where("id is null").select("row"), rows.where("id is not null")
-    slots = _slots(special, "id")
-    if slots is not None:
-        marked = rows.join(F.broadcast(slots), F.pmod(F.xxhash64("id"), F.lit(SLOTS)) == F.col("slot"), "left")
-        plain = plain.unionAll(marked.where("slot is null").select("row"))
-        rows = marked.where("slot is not null").select("row", "id", "tie")
-    plain = plain.unionAll(rows.join(special, "id", "left_anti").select("row"))
-    maybe = rows.join(special.where("stays"), "id", "left_semi")
+    if _few(special):
+        marked = rows.join(F.broadcast(special), "id", "left")
+        plain = marked.where("stays is null").select("row")
+    else:  # rows without an id would meet in one task
+        marked = rows.where("id is not null").join(special, "id", "left")
+        plain = marked.where("stays is null").select("row").unionAll(rows.where("id is null").select("row"))
+    maybe = marked.where("stays").select("id", "row", "tie")
     one = maybe.groupBy("id").agg(F.min_by("row", "tie").alias("row"))
     return plain.select("row.*").unionAll(one.select("row.*"))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from kilnwork.llm.textblocks import blocks
+from kilnwork.llm.textblocks import blocks, released
 from kilnwork.llm.tokens import encoder
 
 TIERS = (2048, 1024, 512, 256)
@@ -162,7 +162,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, tiers: tuple[int, ...] =
         ready += packer.rest()
         yield from out(ready)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(released(work), PIECES)
 
 
 def batch_of(rows: list[tuple]) -> pa.RecordBatch:

@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from kilnwork.llm.shared import drop, stored
-from kilnwork.llm.textblocks import Words, distinct, each_block, grams, mix64
+from kilnwork.llm.textblocks import Words, distinct, each_block, grams, mix64, released
 
 WINDOW, ANCHOR = 20, 8
 FILTER_BITS = 30
@@ -174,10 +174,10 @@ def _bucket_bits(df: DataFrame) -> int:
 def recurring_filter(docs: DataFrame, window: int, anchor: int, most_bits: int) -> tuple[np.ndarray, int]:
     """The packed filter of recurring anchors, and the bytes of all texts.  The driver gets at most 2**most_bits bits."""
     spark, bucket_bits = docs.sparkSession, min(_bucket_bits(docs), most_bits - 3)
-    sent, sent_path = stored(docs.select("text").mapInArrow(_anchors(bucket_bits, window, anchor), "bucket int, hashes binary, twice binary, bytes long"), "anchors")
+    sent, sent_path = stored(docs.select("text").mapInArrow(released(_anchors(bucket_bits, window, anchor)), "bucket int, hashes binary, twice binary, bytes long"), "anchors")
     total = sent.where("bucket < 0").agg(F.sum("bytes").alias("n")).first()["n"] or 0
     rows = sent.where("bucket >= 0").select("bucket", "hashes", "twice").repartition(_parts(docs), "bucket").sortWithinPartitions("bucket")
-    again, again_path = stored(rows.mapInArrow(_recurring, "bucket int, hashes binary"), "recurring")
+    again, again_path = stored(rows.mapInArrow(released(_recurring), "bucket int, hashes binary"), "recurring")
     anchors = again.agg(F.sum(F.octet_length("hashes")).alias("n")).first()["n"] or 0  # 8 bytes each, so 8 bits each
     filter_bits = min(most_bits, max(bucket_bits + 3, int(anchors).bit_length()))
     packed = np.zeros(1 << (filter_bits - 3), np.uint8)
@@ -427,7 +427,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     sharded = source.select("doc_id", "text", tie.alias("tie"), F.pmod(F.xxhash64("doc_id", tie), F.lit(shards)).cast("int").alias("shard"))
     bits = _bucket_bits(docs)
     sent = sharded.groupBy("shard").applyInArrow(_candidates(lambda: shared.value, bits, window, anchor, hash_bits), _CANDIDATES)
-    found = sent.repartition(_parts(docs), "bucket").sortWithinPartitions("bucket").mapInArrow(_confirmed, "shard int, row binary, start binary, target binary")
+    found = sent.repartition(_parts(docs), "bucket").sortWithinPartitions("bucket").mapInArrow(released(_confirmed), "shard int, row binary, start binary, target binary")
     passages = sharded.groupBy("shard").cogroup(found.groupBy("shard")).applyInArrow(_passages(window), _PASSAGES)
     target = passages.select("owner", "row", "start", "text", F.explode("targets").alias("shard"))
     routed = target.select("shard", (F.col("shard") == F.col("owner")).alias("own"), "row", "start", "text")

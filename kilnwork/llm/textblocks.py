@@ -13,12 +13,13 @@ empty.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 SPACES = (9, 10, 11, 12, 13, 32)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _rng = np.random.default_rng(0x5EED)
@@ -164,6 +165,21 @@ def shingle_sets(words: Words, n: int) -> Iterator[np.ndarray]:
             yield np.empty(0, np.uint64)
 
 
+def released(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's function that gives freed memory back to the system at its end, as workers wait for the next task with what they hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 def each_block(batch: pa.RecordBatch, text: str, *, lower: bool, limit: int = BLOCK_BYTES, kinds: np.ndarray = WORD_KINDS) -> Iterator[tuple[int, int, Words]]:
     """(first row, end row, Words) of each block of a batch."""
     column = batch.column(batch.schema.get_field_index(text))

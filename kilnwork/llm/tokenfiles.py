@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kilnwork.llm.shared import drop, stored
-from kilnwork.llm.textblocks import blocks, text_buffer
+from kilnwork.llm.textblocks import blocks, released, text_buffer
 from kilnwork.llm.tokens import encoder
 
 MAX_BITS = 18
@@ -211,7 +211,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays(columns, names=_TOKENIZED)
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(work, "doc_id long, wide boolean, ids binary, counts binary")
+    return source.mapInArrow(released(work), "doc_id long, wide boolean, ids binary, counts binary")
 
 
 def count_ids(ids: DataFrame) -> np.ndarray:
@@ -223,7 +223,7 @@ def count_ids(ids: DataFrame) -> np.ndarray:
                 pairs = np.frombuffer(raw.as_py(), "<i8").reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["id", "n"])
 
-    pairs = ids.where("counts is not null").select("counts").mapInArrow(work, "id long, n long")
+    pairs = ids.where("counts is not null").select("counts").mapInArrow(released(work), "id long, n long")
     got = pairs.groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(int(got["id"].max()) + 1 if len(got) else 1, np.int64)
     counts[got["id"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
@@ -265,7 +265,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, path: str, max_bits: int
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = ids.where("ids is not null").select("doc_id", "wide", "ids")
     # The hash of the ids only orders rows that repeat a doc_id.
-    rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("ids")).mapInArrow(work, BLOCKS).write.parquet(f"{path}/blocks")
+    rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("ids")).mapInArrow(released(work), BLOCKS).write.parquet(f"{path}/blocks")
     drop(spark, working)
 
 
@@ -300,4 +300,4 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([*numbers, raw], names=["doc_id", "start", "n_tokens", "ids"])
                     waiting, size = [], 0
 
-    return found.select("shard", "data").mapInArrow(work, DOCUMENTS)
+    return found.select("shard", "data").mapInArrow(released(work), DOCUMENTS)
