@@ -26,7 +26,7 @@ def repeated(spark, tmp_path_factory) -> str:
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["asset_sizes", "gradient_stops", "merge_data"])
+@pytest.mark.parametrize("name", ["asset_sizes", "gradient_stops", "merge_data", "merge_outcomes"])
 def test_parts_65000_keys_apart(spark, repeated, name):
     got = rows(catalogue.QUERIES[name](spark, repeated).toPandas())
     want = rows(views(repeated).execute(catalogue.ORACLES[name]).df())
