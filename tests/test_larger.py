@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from kilnwork import catalogue
+from kilnwork.sources import codecs
 from tests.conftest import DATA
 from tests.oracle import rows, views
 
@@ -32,3 +34,15 @@ def test_parts_65000_keys_apart(spark, repeated, name):
     want = rows(views(repeated).execute(catalogue.ORACLES[name]).df())
     assert got == want
     assert want[1]
+
+
+@pytest.mark.parametrize("name", ["default_codec"])
+def test_images_are_dealt_to_all_cores(spark, name):
+    assert catalogue.QUERIES[name](spark, str(SMALL)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_lattice_is_searched_whole():
+    some = np.random.default_rng(3).integers(0, 256, (500, 3))
+    some[:8] = [(r, g, b) for r in (0, 255) for g in (0, 255) for b in (0, 255)]
+    found = codecs.from_lattice(codecs.to_lattice(some))
+    assert found.min() >= 0 and found.max() <= 255 and np.abs(found - some).max() <= 1
