@@ -36,7 +36,7 @@ def test_parts_65000_keys_apart(spark, repeated, name):
     assert want[1]
 
 
-@pytest.mark.parametrize("name", ["default_codec"])
+@pytest.mark.parametrize("name", ["default_codec", "quantized_codec"])
 def test_images_are_dealt_to_all_cores(spark, name):
     assert catalogue.QUERIES[name](spark, str(SMALL)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
 
@@ -46,3 +46,11 @@ def test_lattice_is_searched_whole():
     some[:8] = [(r, g, b) for r in (0, 255) for g in (0, 255) for b in (0, 255)]
     found = codecs.from_lattice(codecs.to_lattice(some))
     assert found.min() >= 0 and found.max() <= 255 and np.abs(found - some).max() <= 1
+
+
+def test_boxes_are_weighed_once(monkeypatch):
+    calls, plain = [], np.ptp
+    monkeypatch.setattr(codecs.np, "ptp", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    colours = np.unique(np.random.default_rng(5).integers(0, 256, (1024, 4)), axis=0)
+    assert len(codecs.median_cut(colours, np.ones(len(colours), np.int64))) == 256
+    assert len(calls) < 1000  # two boxes and a channel for each of 255 cuts
