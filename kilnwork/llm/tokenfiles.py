@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kilnwork.llm.shared import drop, stored
+from kilnwork.llm.shared import drop, small_batches, stored
 from kilnwork.llm.textblocks import blocks, released, text_buffer
 from kilnwork.llm.tokens import encoder
 
@@ -233,7 +233,8 @@ def count_ids(ids: DataFrame) -> np.ndarray:
 def write(docs: DataFrame, tokenizer: str, end_id: int, path: str, max_bits: int = MAX_BITS) -> None:
     """Writes all documents' ids as a file set, in ascending doc_id order."""
     spark = docs.sparkSession
-    ids, working = stored(tokenized(docs, tokenizer, end_id), "token-ids", "zstd")
+    with small_batches(spark):
+        ids, working = stored(tokenized(docs, tokenizer, end_id), "token-ids", "zstd")
     lengths = code_lengths(count_ids(ids), max_bits)
     spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").write.parquet(f"{path}/code")
 
@@ -265,7 +266,8 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, path: str, max_bits: int
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = ids.where("ids is not null").select("doc_id", "wide", "ids")
     # The hash of the ids only orders rows that repeat a doc_id.
-    rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("ids")).mapInArrow(released(work), BLOCKS).write.parquet(f"{path}/blocks")
+    with small_batches(spark):
+        rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("ids")).mapInArrow(released(work), BLOCKS).write.parquet(f"{path}/blocks")
     drop(spark, working)
 
 
