@@ -2,8 +2,7 @@
 
 ``fit`` counts hashed unigrams and bigrams of tokens (runs of letters and digits,
 runs of other signs; case kept) for two multinomials: the raw corpus, over all
-documents, and the trusted target, over half of a bounded sample of labelled
-rows.  A bucket's weight is log((n + PRIOR) / (e + PRIOR)), where n is its target
+documents, and the trusted target, over half of all trusted rows.  A bucket's weight is log((n + PRIOR) / (e + PRIOR)), where n is its target
 count and e the count that the raw corpus leads to expect there; without evidence
 it is near zero.  A document's score is the mean weight of its n-grams, so length
 does not matter.  One threshold holds for every document: of the scores of
@@ -28,17 +27,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from kilnwork.llm.shared import drop, stored
 from kilnwork.llm.textblocks import TOKEN_KINDS, each_block, grams, released
 
 BUCKET_BITS = 16
-#: At most about so many labelled rows of each class are used for the fit.
-SAMPLE_ROWS = 20_000
+#: Of the labelled rows, so many are broadcast at once.
+SLICE_ROWS = 1 << 20
+#: Scores are counted in cells of this part of one.
+CELLS = 1024
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WINDOW = 8
 #: Pseudo-count of a bucket, in the target and in what is expected there.
 PRIOR = 5.0
-#: Of the trusted rows of the sample, at most this share may fall under the threshold.
+#: Of the trusted rows that the target did not see, at most this share may fall under the threshold.
 MAX_TRUSTED_LOSS = 0.005
 STATS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double"
 
@@ -128,6 +130,12 @@ def scores(batch: pa.RecordBatch, weights: np.ndarray) -> np.ndarray:
     return out
 
 
+def _gains(good_below: np.ndarray, bad_below: np.ndarray, good: int, bad: int) -> np.ndarray:
+    """Gain of cuts with so many rows of either class below; -1 for those that lose too many trusted rows."""
+    lost, caught = good_below / good, bad_below / bad
+    return np.where(lost <= MAX_TRUSTED_LOSS, caught - lost, -1.0)
+
+
 def choose_threshold(good: np.ndarray, bad: np.ndarray) -> float:
     """The cut with the highest balanced accuracy among those that lose few trusted rows.
 
@@ -138,15 +146,40 @@ def choose_threshold(good: np.ndarray, bad: np.ndarray) -> float:
         return float("-inf")
     good, bad = np.sort(good), np.sort(bad)
     cuts = np.unique(np.concatenate([good, bad]))
-    lost = np.searchsorted(good, cuts, side="left") / len(good)
-    caught = np.searchsorted(bad, cuts, side="left") / len(bad)
-    gain = np.where(lost <= MAX_TRUSTED_LOSS, caught - lost, -1.0)
-    k = int(np.argmax(gain))
+    k = int(np.argmax(_gains(np.searchsorted(good, cuts, side="left"), np.searchsorted(bad, cuts, side="left"), len(good), len(bad))))
     return float((cuts[k] + cuts[k - 1]) / 2) if k else float("-inf")
 
 
-def labelled_sample(labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(doc_id, trusted, target): about ``rows`` of either class at most, by a hash of doc_id.
+def threshold_of(scored: DataFrame) -> float:
+    """choose_threshold over all rows (trusted, score); the driver gets counts by cells of scores.
+
+    Cells whose best cut could still be the best of all are then counted score by score.
+    """
+    scored = scored.withColumn("cell", F.floor(F.col("score") * CELLS))
+    counts = (F.count_if("trusted").alias("good"), F.count_if(~F.col("trusted")).alias("bad"))
+    cells = scored.groupBy("cell").agg(*counts).toPandas().sort_values("cell", ignore_index=True)
+    good, bad = int(cells["good"].sum()), int(cells["bad"].sum())
+    if not good or not bad:
+        return float("-inf")
+    good_to, bad_to = (cells[n].cumsum().to_numpy(np.int64) for n in ("good", "bad"))
+    good_from, bad_from = good_to - cells["good"].to_numpy(np.int64), bad_to - cells["bad"].to_numpy(np.int64)
+    at_most, sure = _gains(good_from, bad_to, good, bad), _gains(good_from, bad_from, good, bad)
+    left = np.flatnonzero(at_most >= sure.max())
+    best, cut = -2.0, 0.0
+    found = scored.where(F.col("cell").isin(cells["cell"].iloc[left].tolist())).groupBy("cell", "score").agg(*counts).toPandas()
+    by_cell = dict(list(found.sort_values("score").groupby("cell")))
+    for k in left.tolist():
+        rows = by_cell[cells["cell"].iloc[k]]
+        below = [first + rows[n].cumsum().to_numpy(np.int64) - rows[n].to_numpy(np.int64) for n, first in (("good", good_from[k]), ("bad", bad_from[k]))]
+        gain = _gains(*below, good, bad)
+        if gain.max() > best:
+            best, cut = float(gain.max()), float(rows["score"].iloc[int(np.argmax(gain))])
+    under = scored.where(F.col("score") < cut).agg(F.max("score").alias("score")).first()["score"]
+    return float("-inf") if under is None else (cut + under) / 2
+
+
+def judged_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, trusted, target) of every labelled doc_id.
 
     Trusted: quality 1 and not toxic; half of them, by hash, make the target.
     Distrusted: quality 0.  Rows with null labels or ids are left out; a doc_id
@@ -156,24 +189,36 @@ def labelled_sample(labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     trusted = F.when(F.col("quality") == 0, F.lit(False)).when(good, F.lit(True))
     judged = labels.select(F.col("doc_id").cast("long").alias("doc_id"), trusted.alias("trusted")).where("trusted is not null and doc_id is not null")
     judged = judged.groupBy("doc_id").agg(F.bool_and("trusted").alias("trusted"))
-    counts = {r.trusted: r["count"] for r in judged.groupBy("trusted").count().collect()}
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    share = F.when(F.col("trusted"), F.lit(min(1.0, rows / max(1, counts.get(True, 0))))).otherwise(F.lit(min(1.0, rows / max(1, counts.get(False, 0)))))
-    return judged.where(part < share).withColumn("target", F.col("trusted") & (F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(2)) == 0))
+    return judged.withColumn("target", F.col("trusted") & (F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(2)) == 0))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Counts over all documents; the driver gets 2**16 buckets and the sample's scores."""
-    # The sample is bounded by its parameter, so it may be broadcast.
-    sample = F.broadcast(labelled_sample(labels, sample_rows))
-    size = 1 << BUCKET_BITS
-    joined = docs.select("doc_id", "text").join(sample, "doc_id", "left")
-    counted = joined.select("text", "target").mapInArrow(released(_count), "bucket long, n_raw long, n_target long")
-    got = counted.groupBy("bucket").agg(F.sum("n_raw").alias("n_raw"), F.sum("n_target").alias("n_target")).toPandas()
+#: Its name when it took a sample.
+labelled_sample = judged_labels
+
+
+def fit(docs: DataFrame, labels: DataFrame, slice_rows: int = SLICE_ROWS) -> Model:
+    """Counts over all documents and all labelled rows.
+
+    Labelled rows are broadcast in slices, each a job of its own, so that texts are
+    never shuffled; the driver gets 2**16 buckets and what threshold_of counts.
+    """
+    spark, size = docs.sparkSession, 1 << BUCKET_BITS
+    judged, place = stored(judged_labels(labels), "judged")
+    n = max(1, -(-judged.count() // slice_rows))
+    part = F.pmod(F.xxhash64(F.lit(2), "doc_id"), F.lit(n))
+    slices = [F.broadcast(judged.where(part == k) if n > 1 else judged) for k in range(n)]
     raw, target = np.zeros(size), np.zeros(size)
-    raw[got["bucket"].to_numpy(np.int64)] = got["n_raw"].to_numpy(float)
-    target[got["bucket"].to_numpy(np.int64)] = got["n_target"].to_numpy(float)
+    for k, mine in enumerate(slices):
+        # The first slice's job counts all documents, others their own.
+        joined = docs.select("doc_id", "text").join(mine, "doc_id", "left") if k == 0 else docs.select("doc_id", "text").join(mine.where("target"), "doc_id")
+        counted = joined.select("text", "target").mapInArrow(released(_count), "bucket long, n_raw long, n_target long")
+        got = counted.groupBy("bucket").agg(F.sum("n_raw").alias("n_raw"), F.sum("n_target").alias("n_target")).toPandas()
+        at = got["bucket"].to_numpy(np.int64)
+        target[at] += got["n_target"].to_numpy(float)
+        if k == 0:
+            raw[at] += got["n_raw"].to_numpy(float)
     if not target.sum():
+        drop(spark, place)
         return Model(np.zeros(size), float("-inf"))
     weights = np.log((target + PRIOR) / (raw * (target.sum() / raw.sum()) + PRIOR))
 
@@ -181,11 +226,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(scores(batch, weights))], names=["trusted", "score"])
 
-    unseen = docs.select("doc_id", "text").join(sample, "doc_id").where("not target")
-    of_sample = unseen.select("text", "trusted").mapInArrow(released(score), "trusted boolean, score double").toPandas()
-    good = of_sample["trusted"].to_numpy(bool)
-    values = of_sample["score"].to_numpy(float)
-    return Model(weights, choose_threshold(values[good], values[~good]))
+    places, every = [place], None
+    for mine in slices:
+        unseen = docs.select("doc_id", "text").join(mine.where("not target"), "doc_id")
+        scored, at = stored(unseen.select("text", "trusted").mapInArrow(released(score), "trusted boolean, score double"), "label-scores")
+        places.append(at)
+        every = scored if every is None else every.unionAll(scored)
+    threshold = threshold_of(every)
+    drop(spark, *places)
+    return Model(weights, threshold)
 
 
 def base_failed(n_words: np.ndarray, n_repeat_words: np.ndarray) -> np.ndarray:

@@ -639,3 +639,25 @@ def test_token_files_are_written_from_small_batches(spark, tmp_path, monkeypatch
     tokenfiles.write(docs, BYTE, 0, f"file://{tmp_path}/ids")
     assert seen == [4 << 20] and spark.conf.get(key) == before
     assert [r.doc_id for r in tokenfiles.read(spark, f"file://{tmp_path}/ids").orderBy("doc_id").collect()] == [1, 2]
+
+
+def test_quality_takes_every_label(spark):
+    labels = spark.range(90_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    assert quality.labelled_sample(labels).count() == 90_000
+
+
+def test_quality_does_not_depend_on_slices(spark):
+    df, labels = cases.documents(spark), spark.createDataFrame([(k, k % 3, 0) for k in range(0, 400)], "doc_id long, quality int, toxic int")
+    one, many = quality.fit(df, labels), quality.fit(df, labels, slice_rows=7)
+    assert one.threshold == many.threshold and (one.weights == many.weights).all()
+
+
+def test_threshold_from_cells(spark):
+    rng = np.random.default_rng(8)
+    for n, digits in ((400, 6), (60, 2), (5, 1), (1, 1)):
+        good, bad = np.round(rng.normal(0.4, 0.5, n), digits), np.round(rng.normal(-0.4, 0.5, n), digits)
+        rows = [(True, float(x)) for x in good] + [(False, float(x)) for x in bad]
+        for kept in (rows, rows[:n], rows[n:]):
+            scored = spark.createDataFrame(kept, "trusted boolean, score double")
+            want = quality.choose_threshold(*(np.array([x for t, x in kept if t == which]) for which in (True, False)))
+            assert quality.threshold_of(scored) == want
