@@ -36,6 +36,23 @@ def test_parts_65000_keys_apart(spark, repeated, name):
     assert want[1]
 
 
+@pytest.fixture(scope="module")
+def distant(spark, tmp_path_factory) -> str:
+    """The smallest tables, with each part a second time in size 5 under a key that is 2^32 higher."""
+    folder = tmp_path_factory.mktemp("distant")
+    part = spark.read.parquet(f"{SMALL}/part.parquet")
+    part.unionAll(part.withColumns({"p_partkey": part["p_partkey"] + 2**32, "p_size": F.lit(5)})).write.parquet(f"{folder}/part.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["gradient_stops", "merge_data", "merge_outcomes"])
+def test_keys_past_32_bits(spark, distant, name):
+    got = rows(catalogue.QUERIES[name](spark, distant).toPandas())
+    want = rows(views(distant).execute(catalogue.ORACLES[name]).df())
+    assert got == want
+    assert want[1]
+
+
 @pytest.mark.parametrize("name", ["default_codec", "quantized_codec"])
 def test_images_are_dealt_to_all_cores(spark, name):
     assert catalogue.QUERIES[name](spark, str(SMALL)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
