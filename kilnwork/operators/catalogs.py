@@ -352,11 +352,12 @@ def merge(tables: Tables, replacements: DataFrame, add_missing: bool = False) ->
     identifiers after the largest; they go to the entry's path, or to the one file
     that there is.  Later entries of such a name replace what the first one added.
     """
-    offered = _measured(replacements)
+    # Files may number their entries alike, so the file that an entry is meant for tells it too.
+    offered = _measured(replacements).withColumn("entry", F.struct("ordinal", F.col("path").alias("only")))
     judged = stored(_judged(tables, offered), "judged")
     told = judged.groupBy("path", "ordinal", "name", "outcome").agg(F.count("*").alias("n"))
-    last = judged.where(F.col("outcome") == INSTALLED).groupBy("path", "rid", "kind").agg(F.max("ordinal").alias("ordinal"))
-    done = _applied(tables, stored(last.join(offered.select("ordinal", "bytes"), "ordinal"), "landed"))
+    last = judged.where(F.col("outcome") == INSTALLED).groupBy("path", "rid", "kind").agg(F.max("entry").alias("entry"))
+    done = _applied(tables, stored(last.join(offered.select("entry", "bytes"), "entry"), "landed"))
     out, report = dict(tables) | {"renditions": done}, told
     if add_missing:
         out, gained = _added(out, offered, told)
@@ -377,10 +378,10 @@ def merge_or_fail(tables: Tables, replacements: DataFrame, add_missing: bool = F
 
 
 def _judged(tables: Tables, offered: DataFrame) -> DataFrame:
-    """(path, rid, name, ordinal, kind, outcome): what each entry does to each rendition of its name."""
+    """(path, rid, name, ordinal, entry, kind, outcome): what each entry does to each rendition of its name."""
     r = tables["renditions"]
     named = named_renditions(tables).join(offered.withColumnRenamed("path", "only"), "name").where("only is null or only = path").drop("only")
-    tried = stored(named.select("path", "rid", "name", "ordinal", "w", "h"), "tried")
+    tried = stored(named.select("path", "rid", "name", "ordinal", "entry", "w", "h"), "tried")
     wanted = tried.select("path", "rid").distinct()
     mine = r.join(wanted, ["path", "rid"], "left_semi")
     found = resolve_links(dict(tables) | {"renditions": r, "linked": mine})
@@ -395,7 +396,7 @@ def _judged(tables: Tables, offered: DataFrame) -> DataFrame:
     link = F.when(F.col("atlas_readable").isNull(), SHARED_ATLAS).when(fits("rect_w", "rect_h"), INSTALLED).otherwise(SIZE_MISMATCH)
     png = F.when(F.col("compression").isNotNull(), bitmap).when(F.col("kind") == "link", link).otherwise(NOT_A_BITMAP)
     outcome = F.when(is_png, png).when(F.col("kind") == "data", INSTALLED).otherwise(NOT_DATA)
-    return tried.join(state, ["path", "rid"]).select("path", "rid", "name", "ordinal", "kind", outcome.alias("outcome"))
+    return tried.join(state, ["path", "rid"]).select("path", "rid", "name", "ordinal", "entry", "kind", outcome.alias("outcome"))
 
 
 def _applied(tables: Tables, last: DataFrame) -> DataFrame:

@@ -53,6 +53,15 @@ def test_keys_past_32_bits(spark, distant, name):
     assert want[1]
 
 
+def test_merge_data_of_keys_that_brands_share(spark, tmp_path):
+    part = spark.read.parquet(f"{SMALL}/part.parquet").withColumn("p_size", F.lit(5))
+    part.unionAll(part.withColumn("p_brand", F.concat("p_brand", F.lit("b")))).write.parquet(f"{tmp_path}/part.parquet")
+    got = rows(catalogue.QUERIES["merge_data"](spark, str(tmp_path)).toPandas())
+    want = rows(views(str(tmp_path)).execute(catalogue.ORACLES["merge_data"]).df())
+    assert got == want
+    assert want[1]
+
+
 @pytest.mark.parametrize("name", ["default_codec", "quantized_codec"])
 def test_images_are_dealt_to_all_cores(spark, name):
     assert catalogue.QUERIES[name](spark, str(SMALL)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
