@@ -355,16 +355,16 @@ def merge(tables: Tables, replacements: DataFrame, add_missing: bool = False) ->
     # Files may number their entries alike, so the file that an entry is meant for tells it too.
     offered = _measured(replacements).withColumn("entry", F.struct("ordinal", F.col("path").alias("only")))
     judged = stored(_judged(tables, offered), "judged")
-    told = judged.groupBy("path", "ordinal", "name", "outcome").agg(F.count("*").alias("n"))
+    told = judged.groupBy("path", "ordinal", "name", "entry", "outcome").agg(F.count("*").alias("n"))
     last = judged.where(F.col("outcome") == INSTALLED).groupBy("path", "rid", "kind").agg(F.max("entry").alias("entry"))
     done = _applied(tables, stored(last.join(offered.select("entry", "bytes"), "entry"), "landed"))
     out, report = dict(tables) | {"renditions": done}, told
     if add_missing:
         out, gained = _added(out, offered, told)
         report = report.unionByName(gained)
-    took = report.where(F.col("outcome").isin(INSTALLED, "added")).select("ordinal").distinct()
-    lost = offered.join(took, "ordinal", "left_anti").select(F.lit(None).cast("string").alias("path"), "ordinal", "name", F.lit("unmatched").alias("outcome"), F.lit(0).cast("long").alias("n"))
-    return out, report.unionByName(lost)
+    took = report.where(F.col("outcome").isin(INSTALLED, "added")).select("entry").distinct()
+    lost = offered.join(took, "entry", "left_anti").select(F.lit(None).cast("string").alias("path"), "ordinal", "name", F.lit("unmatched").alias("outcome"), F.lit(0).cast("long").alias("n"))
+    return out, report.drop("entry").unionByName(lost)
 
 
 def merge_or_fail(tables: Tables, replacements: DataFrame, add_missing: bool = False) -> Tables:
@@ -443,7 +443,7 @@ def _added(tables: Tables, offered: DataFrame, told: DataFrame) -> tuple[Tables,
     mine = fresh.join(first, ["path", "name"]).where("ordinal >= first")
     kept = mine.groupBy("path", "name", "key_format").agg(F.min_by("sniffed", "ordinal").alias("sniffed"), F.max_by("bytes", "ordinal").alias("bytes"))
     outcome = F.when(F.col("ordinal") == F.col("first"), "added").otherwise(INSTALLED)
-    gained = mine.select("path", "ordinal", "name", outcome.alias("outcome"), F.lit(1).cast("long").alias("n"))
+    gained = mine.select("path", "ordinal", "name", "entry", outcome.alias("outcome"), F.lit(1).cast("long").alias("n"))
     return _with_vectors(tables, kept), gained
 
 

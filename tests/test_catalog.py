@@ -255,6 +255,17 @@ def test_merge(spark, packed, tmp_path):
     assert sizes == {("logo", 24, 24), ("logo", 48, 48), ("logo@2x", 48, 48), ("other", 8, 8)}  # a name of its own resolves too
 
 
+def test_merge_of_files_that_number_entries_alike(spark, packed, tmp_path):
+    data = bytes(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(packed).first()["content"])
+    for name in ("a.car", "b.car"):
+        (tmp_path / name).write_bytes(data)
+    found = catalog.tables(spark, f"file://{tmp_path}")
+    a, b = sorted(r["path"] for r in found["car_info"].collect())
+    fits, other = (codecs.png_write(solid(n, n, (5, 6, 7, 255))) for n in (8, 9))
+    _, report = catalogs.merge(found, spark.createDataFrame([(a, 0, "other", fits), (b, 0, "other", other)], "path string, ordinal long, name string, bytes binary"))
+    assert sorted((r.path or "", r.ordinal, r.name, r.outcome, r.n) for r in report.collect()) == [("", 0, "other", "unmatched", 0), (a, 0, "other", "replaced", 1), (b, 0, "other", "size mismatch", 1)]
+
+
 def test_clone(spark, packed, tmp_path):
     found = catalog.tables(spark, packed)
     path = found["car_info"].first()["path"]
